@@ -51,29 +51,36 @@ def normalize_unit(text: Column | str) -> Column:
     return F.regexp_replace(F.lower(nfkc(_col(text))), rf"[^\p{{L}}\p{{N}}{ALIGNMENT_CJK}]", "")
 
 
+# Each match becomes one blank, in this order: script boundaries, punctuation
+# (letters, numbers and underscore stay), runs of Unicode blanks.
+BLANKED = (
+    rf"(?<=[{RECOGNITION_CJK}])(?=[A-Za-z0-9])",
+    rf"(?<=[A-Za-z0-9])(?=[{RECOGNITION_CJK}])",
+    r"(?U)[^\p{L}\p{N}_\s]",
+    r"(?U)[\s\x1c-\x1f]+",
+)
+MIXED_TOKEN = rf"[{RECOGNITION_CJK}]|[^\s{RECOGNITION_CJK}]+"
+
+
 def normalize_er(text: Column | str) -> Column:
-    """Normal form for error rates; the underscore survives."""
-    return _normalize_composed(nfkc(_col(text)))
+    """Normal form for error rates."""
+    value = F.lower(nfkc(_col(text)))
+    for pattern in BLANKED:
+        value = F.regexp_replace(value, pattern, " ")
+    return F.trim(value)
 
 
-def _normalize_composed(composed: Column) -> Column:
-    value = F.lower(composed)
-    value = F.regexp_replace(value, rf"(?<=[{RECOGNITION_CJK}])(?=[A-Za-z0-9])", " ")
-    value = F.regexp_replace(value, rf"(?<=[A-Za-z0-9])(?=[{RECOGNITION_CJK}])", " ")
-    # Python's word class: letters, numbers, underscore; blanks are Unicode white space.
-    value = F.regexp_replace(value, r"(?U)[^\p{L}\p{N}_\s]", " ")
-    return F.trim(F.regexp_replace(value, r"(?U)[\s\x1c-\x1f]+", " "))
+def composed_token_count(composed: str) -> str:
+    """Number of mixed tokens of an NFKC text, as SQL for use in a lambda."""
+    value = f"lower({composed})"
+    for pattern in BLANKED:
+        value = f"regexp_replace({value}, r'{pattern}', ' ')"
+    return f"size(regexp_extract_all({value}, r'{MIXED_TOKEN}', 0))"
 
 
 def mixed_tokens(normalized: Column | str) -> Column:
     """CJK characters singly, other runs by blanks; input is ``normalize_er`` output."""
-    cjk = RECOGNITION_CJK
-    return F.regexp_extract_all(_col(normalized), F.lit(rf"[{cjk}]|[^\s{cjk}]+"), 0)
-
-
-def mixed_token_counts(texts: Column | str) -> Column:
-    """Number of mixed tokens of each text of an array."""
-    return F.transform(nfkc_each(_col(texts)), lambda t: F.size(mixed_tokens(_normalize_composed(t))))
+    return F.regexp_extract_all(_col(normalized), F.lit(MIXED_TOKEN), 0)
 
 
 def er_metric(category: Column | str, language: Column | str) -> Column:

@@ -9,6 +9,15 @@ from __future__ import annotations
 TEXT_KINDS = "('ins', 'del', 'sub')"
 
 
+def let(name: str, value: str, body: str) -> str:
+    """Bind a value once inside one expression.
+
+    The optimizer may merge projections and copy a shared column into every
+    lambda that reads it; a bound variable is computed once per row.
+    """
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def timed_units(spans: str, units: str) -> str:
     """Character bounds and times of the units in one array."""
     return (

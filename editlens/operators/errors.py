@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from editlens.functions.sequences import align_tokens
-from editlens.functions.text import er_tokens, mixed_token_counts, mixed_tokens, normalize_er
-from editlens.functions.units import TEXT_KINDS
+from editlens.functions.text import composed_token_count, er_tokens, mixed_tokens, nfkc_each, normalize_er
+from editlens.functions.units import TEXT_KINDS, let
 
 CONTEXT = 3
 
@@ -43,12 +43,13 @@ def region_counts(path: str, inside: str) -> str:
     n = f"(size({path}) - 1)"
     own = inside.replace("{p}", "e.p")
     gap = inside.replace("{p}", f"least(e.p, {n} - 1)")
-    count = lambda op: f"size(filter({path}, e -> e.op = '{op}' and {own}))"
-    inserted = f"aggregate({path}, 0, (k, e) -> k + if({n} > 0 and {gap}, e.ins, 0))"
-    return f"""transform(array(named_struct('s', {count('S')}, 'd', {count('D')}, 'h', {count('H')}, 'i', {inserted})),
-        c -> named_struct('error_rate', coalesce(try_divide(c.s + c.d + c.i, c.s + c.d + c.h), 0D),
+    zero = "named_struct('s', 0, 'd', 0, 'h', 0, 'i', 0)"
+    step = f"""named_struct('s', k.s + int(e.op = 'S' and {own}), 'd', k.d + int(e.op = 'D' and {own}),
+        'h', k.h + int(e.op = 'H' and {own}), 'i', k.i + if(e.ins > 0 and {n} > 0 and {gap}, e.ins, 0))"""
+    result = """c -> named_struct('error_rate', coalesce(try_divide(c.s + c.d + c.i, c.s + c.d + c.h), 0D),
         'substitutions', c.s, 'deletions', c.d, 'insertions', c.i, 'hits', c.h,
-        'ref_length', c.s + c.d + c.h, 'hyp_length', c.s + c.h + c.i, 'metric', 'mixed'))[0]"""
+        'ref_length', c.s + c.d + c.h, 'hyp_length', c.s + c.h + c.i, 'metric', 'mixed')"""
+    return f"aggregate({path}, {zero}, (k, e) -> {step}, {result})"
 
 
 def with_local_errors(df: DataFrame, hypothesis: str, context: int = CONTEXT) -> DataFrame:
@@ -60,32 +61,29 @@ def with_local_errors(df: DataFrame, hypothesis: str, context: int = CONTEXT) ->
     lead = lambda end: F.expr(
         f"transform(parsed.ops, o -> substring(parsed.target_text, 1, o.tgt_{end}))"
     )
-    counted = df.withColumns(
+    aligned = df.withColumns(
         {
-            "local_ref": mixed_tokens(normalize_er(F.col("parsed.target_text"))),
-            "local_hyp": mixed_tokens(normalize_er(hypothesis)),
-            "n_lo": mixed_token_counts(lead("start")),
-            "n_hi": mixed_token_counts(lead("end")),
+            "_ref": mixed_tokens(normalize_er(F.col("parsed.target_text"))),
+            "_hyp": mixed_tokens(normalize_er(hypothesis)),
+            "_lo": nfkc_each(lead("start")),
+            "_hi": nfkc_each(lead("end")),
         }
+    ).withColumn("_alignment", align_tokens("_ref", "_hyp"))
+    near = f"{{p}} >= o.lo - {context} and {{p}} < o.hi + {context}"
+    covered = f"exists(v.ops, o -> o.text and {near})"
+    tokens = lambda c: f"transform({c}, x -> {composed_token_count('x')})"
+    bounds = let(
+        "b",
+        f"named_struct('lo', {tokens('_lo')}, 'hi', {tokens('_hi')})",
+        f"transform(parsed.ops, (o, i) -> named_struct('text', o.kind in {TEXT_KINDS}, 'lo', b.lo[i], 'hi', b.hi[i]))",
     )
-    aligned = counted.withColumns(
-        {
-            "op_tokens": F.expr(
-                f"""transform(parsed.ops, (o, i) -> named_struct('text', o.kind in {TEXT_KINDS},
-                    'lo', get(n_lo, i), 'hi', get(n_hi, i)))"""
-            ),
-            "local_alignment": align_tokens("local_ref", "local_hyp"),
-        }
-    ).withColumn(
-        "local_path",
-        F.expr("transform(local_alignment.path, (x, i) -> named_struct('p', i, 'op', x.op, 'ins', x.ins))"),
+    path = "transform(_alignment.path, (x, i) -> named_struct('p', i, 'op', x.op, 'ins', x.ins))"
+    counts = let(
+        "v",
+        f"named_struct('ops', {bounds}, 'path', {path})",
+        f"""named_struct('edit', {region_counts('v.path', covered)},
+            'other', {region_counts('v.path', f'not {covered}')},
+            'ops', transform(v.ops, o -> if(o.text, {region_counts('v.path', near)}, null)),
+            'bounds', v.ops)""",
     )
-    near = f"{{p}} >= o.lo - {context} and {{p}} < o.hi + {context}"
-    covered = f"exists(op_tokens, o -> o.text and {near})"
-    return aligned.withColumns(
-        {
-            "edit_region": F.expr(region_counts("local_path", covered)),
-            "non_edit_region": F.expr(region_counts("local_path", f"not {covered}")),
-            "op_errors": F.expr(f"transform(op_tokens, o -> if(o.text, {region_counts('local_path', near)}, null))"),
-        }
-    ).drop("n_lo", "n_hi", "local_alignment")
+    return aligned.withColumn("local_errors", F.expr(counts)).drop("_lo", "_hi", "_ref", "_hyp", "_alignment")

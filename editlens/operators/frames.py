@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from editlens.functions.units import marked
+
 BUCKET_SECONDS = 1.0
 SLACK = 1e-10
 
 
 def unit_intervals(timed: DataFrame) -> DataFrame:
-    """Rows (case_id, side, ord, start, end, closed) of the units with a positive length.
+    """Rows (case_id, side, ord, start, end, closed, pitched) of the units with a positive length.
 
-    A span that reaches the end of its recording includes its last frame.
+    ``closed``: the span reaches the end of its recording and includes its last
+    frame. ``pitched``: a pitch operation covers the unit.
     """
-    each = """explode(concat(
-        transform({s}, (u, i) -> named_struct('side', 'source', 'ord', i, 'start', least(greatest(u.t0, 0D), source_duration),
-            'end', least(u.t1, source_duration), 'closed', u.t1 >= source_duration - 1e-10D)),
-        transform({t}, (u, i) -> named_struct('side', 'target', 'ord', i, 'start', least(greatest(u.t0, 0D), target_duration),
-            'end', least(u.t1, target_duration), 'closed', u.t1 >= target_duration - 1e-10D))))"""
+
+    def units(side: str, array: str, name: str) -> str:
+        covered = (
+            f"flatten(transform(filter(parsed.ops, o -> o.kind = 'pitch'),"
+            f" o -> {marked(array, f'o.{name}_start', f'o.{name}_end')}))"
+        )
+        return f"""transform({array}, (u, i) -> named_struct('side', '{side}', 'ord', i,
+            'start', least(greatest(u.t0, 0D), {side}_duration), 'end', least(u.t1, {side}_duration),
+            'closed', u.t1 >= {side}_duration - 1e-10D, 'pitched', array_contains({covered}, i)))"""
+
+    both = f"concat({units('source', 's', 'src')}, {units('target', 't', 'tgt')})"
     return (
-        timed.select("case_id", F.expr(each.format(s="s", t="t")).alias("u"))
+        timed.select("case_id", F.expr(f"explode(filter({both}, u -> u.end > u.start))").alias("u"))
         .select("case_id", "u.*")
-        .filter("end > start")
     )
 
 
@@ -41,12 +49,18 @@ def frames_in_spans(frames: DataFrame, spans: DataFrame) -> DataFrame:
     inside = (t >= F.col("start") - SLACK) & F.when(F.col("closed"), t <= F.col("end") + SLACK).otherwise(
         t < F.col("end") - SLACK
     )
-    return placed.join(cut, ["case_id", "side", "bucket"]).filter(inside)
+    # Both sides come out of explodes, whose size Spark guesses too low; a merge
+    # join keeps it from broadcasting either.
+    return placed.join(cut.hint("merge"), ["case_id", "side", "bucket"]).filter(inside)
+
+
+def _voiced() -> Column:
+    return F.when(F.col("hz") > 0, F.col("hz"))
 
 
 def span_stats(frames: DataFrame, spans: DataFrame) -> DataFrame:
     """Voiced statistics per span; null where no frame is voiced."""
-    voiced = F.when(F.col("hz") > 0, F.col("hz"))
+    voiced = _voiced()
     return (
         frames_in_spans(frames, spans)
         .groupBy("case_id", "side", "ord")
@@ -62,21 +76,43 @@ def span_stats(frames: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
+def unit_statistics(frames: DataFrame, spans: DataFrame) -> DataFrame:
+    """What the evaluation needs: extremes and mean of every unit, medians of pitched ones.
+
+    Extremes and means use plain hash aggregation; only the few units of a pitch
+    operation pay for an exact median. Both branches share the shuffle of the
+    frames.
+    """
+    keys = ("case_id", "side", "ord")
+    voiced = frames.filter("hz > 0")
+    plain = (
+        frames_in_spans(voiced, spans)
+        .groupBy(*keys)
+        .agg(F.min("hz").alias("lo"), F.max("hz").alias("hi"), F.avg("hz").alias("mean"))
+        .withColumn("median", F.lit(None).cast("double"))
+    )
+    pitched = (
+        frames_in_spans(voiced, spans.filter("pitched"))
+        .groupBy(*keys)
+        .agg(F.median("hz").alias("median"))
+        .select(*keys, *[F.lit(None).cast("double").alias(c) for c in ("lo", "hi", "mean")], "median")
+    )
+    return plain.unionByName(pitched)
+
+
 def stats_by_case(stats: DataFrame) -> DataFrame:
-    """One row per case with a map from (side, ordinal) to statistics.
+    """One row per case with maps from ordinal to statistics, per side and kind.
 
     A recording's statistics are no longer than the unit array its case row
     already holds.
     """
-    entry = F.struct(
-        F.col("ord"),
-        F.col("min_f0_hz").alias("lo"),
-        F.col("max_f0_hz").alias("hi"),
-        F.col("mean_f0_hz").alias("mean"),
-        F.col("median_f0_hz").alias("median"),
+    spread = F.struct("lo", "hi", "mean")
+    entry = lambda side, known, value: F.map_from_entries(
+        F.collect_list(F.when((F.col("side") == side) & F.col(known).isNotNull(), F.struct(F.col("ord"), value)))
     )
-    side = lambda name: F.map_from_entries(
-        F.collect_list(F.when(F.col("side") == name, F.struct(F.col("ord"), entry)))
+    return stats.groupBy("case_id").agg(
+        entry("source", "mean", spread).alias("source_f0"),
+        entry("target", "mean", spread).alias("target_f0"),
+        entry("source", "median", F.col("median")).alias("source_median"),
+        entry("target", "median", F.col("median")).alias("target_median"),
     )
-    voiced = stats.filter("num_voiced_frames > 0")
-    return voiced.groupBy("case_id").agg(side("source").alias("source_f0"), side("target").alias("target_f0"))

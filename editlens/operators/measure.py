@@ -71,10 +71,10 @@ def f0_preservation(pairs: str = "kept_f0") -> Column:
     )
 
 
-def pitch(pairs: str, requested: str, source_f0: str = "source_f0", target_f0: str = "target_f0") -> str:
+def pitch(pairs: str, requested: str, source_f0: str = "source_median", target_f0: str = "target_median") -> str:
     """Mean shift over source-voiced units; an unvoiced target counts as no shift."""
     return f"""transform(array(transform(filter(transform({pairs}, p -> named_struct(
-              's', if(p.s1 > p.s0, {source_f0}[p.i].median, null), 't', if(p.t1 > p.t0, {target_f0}[p.j].median, null))),
+              's', if(p.s1 > p.s0, {source_f0}[p.i], null), 't', if(p.t1 > p.t0, {target_f0}[p.j], null))),
             x -> x.s is not null), x -> named_struct('shift', coalesce(12D * log2(x.t / x.s), 0D), 'ok', x.t is not null))),
         e -> transform(array(aggregate(e, 0D, (a, x) -> a + x.shift, a -> try_divide(a, size(e)))), m -> named_struct(
             'status', case when size(e) = 0 then 'no_source_f0' when forall(e, x -> x.ok) then 'ok' else 'missing_target' end,

@@ -84,7 +84,7 @@ def with_operation_times(df: DataFrame) -> DataFrame:
 def with_components(df: DataFrame) -> DataFrame:
     """Add ``components``: measurement, execution and success per operation.
 
-    Needs ``timed_ops``, ``op_errors``, the statistics maps and ``labels``
+    Needs ``timed_ops``, ``local_errors``, the statistics maps and ``labels``
     (operation index to predicted label).
     """
     number = "try_cast(x.param as double)"
@@ -116,7 +116,7 @@ def with_components(df: DataFrame) -> DataFrame:
         "measured",
         F.expr(
             f"""transform(measured, w -> named_struct('z', w.z, 'fraction', w.fraction, 'executed', not penalty_applied and
-              {executed('w.z.kind', 'w.z.param', 'w.z.m', 'w.fraction', 'get(op_errors, w.z.i).error_rate')}))"""
+              {executed('w.z.kind', 'w.z.param', 'w.z.m', 'w.fraction', 'get(local_errors.ops, w.z.i).error_rate')}))"""
         ),
     )
     final = f"""transform(measured, v -> named_struct('op_index', v.z.i,
@@ -148,32 +148,36 @@ EVALUATION_COLUMNS = (
 )
 
 
-def evaluate(cases: DataFrame, f0: DataFrame | None) -> DataFrame:
-    """The evaluation row of every case.
+def measured_without_f0(cases: DataFrame) -> DataFrame:
+    """All that needs no F0: error counts, local errors, warping, intervals.
 
-    ``cases`` carries instruction, units of both sides, recognised text, status,
-    scores and labels in one row; ``f0`` the statistics maps by case. The only
-    shuffle is the one that joins ``f0``.
+    Done before any join, so the heavy part runs where the cases are read and
+    only its results travel.
     """
     read = case_ops.accepted(case_ops.read_instructions(penalise(cases)))
-    timed = case_ops.with_timed_units(read)
-    if f0 is not None:
-        timed = timed.join(f0, "case_id", "left")
     declared = "category" if "category" in cases.columns else None
-    named = timed.withColumns({"category": case_ops.category(declared=declared), "whole": case_ops.is_whole_utterance()})
-    local = errors.with_local_errors(
-        errors.with_error_counts(
-            named.withColumn("target_text", F.col("parsed.target_text")),
-            "target_text",
-            "heard",
-            er_metric("category", "language"),
-        ),
-        "heard",
+    named = case_ops.with_timed_units(read).withColumns(
+        {"category": case_ops.category(declared=declared), "whole": case_ops.is_whole_utterance()}
     )
-    kept = measure.with_duration_preservation(measure.with_preserved(local)).withColumn(
-        "wdtw_f0", measure.f0_preservation()
-    )
-    scored = with_components(with_operation_times(kept))
-    return scored.withColumn(
-        "evaluation_status", F.when(F.col("penalty_applied"), STATUSES[1]).otherwise(STATUSES[0])
-    ).select(*EVALUATION_COLUMNS)
+    counted = errors.with_error_counts(named, "parsed.target_text", "heard", er_metric("category", "language"))
+    local = errors.with_local_errors(counted, "heard")
+    kept = measure.with_duration_preservation(measure.with_preserved(local))
+    keep = [c for c in EVALUATION_COLUMNS if c not in ("evaluation_status", "edit_region", "non_edit_region", "wdtw_f0", "components")]
+    extra = [c for c in ("system", "mode") if c in cases.columns]
+    return with_operation_times(kept).select(*keep, *extra, "local_errors", "labels", "kept_f0", "timed_ops")
+
+
+def evaluate(cases: DataFrame, f0: DataFrame) -> DataFrame:
+    """The evaluation row of every case.
+
+    ``cases`` carries instruction, units of both sides, recognised text, status,
+    scores and labels in one row; ``f0`` the statistics maps by case.
+    """
+    # The case side comes out of an explode of unknown size, so the plan must
+    # not broadcast it; the maps are per case too.
+    joined = measured_without_f0(cases).join(f0.hint("merge"), "case_id", "left")
+    scored = with_components(joined.withColumn("wdtw_f0", measure.f0_preservation()))
+    extra = [c for c in ("system", "mode") if c in cases.columns]
+    status = F.when(F.col("penalty_applied"), STATUSES[1]).otherwise(STATUSES[0])
+    regions = {"edit_region": F.col("local_errors.edit"), "non_edit_region": F.col("local_errors.other")}
+    return scored.withColumns({"evaluation_status": status, **regions}).select(*EVALUATION_COLUMNS, *extra)
