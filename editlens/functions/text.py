@@ -1,13 +1,14 @@
 """Text units and normalisation as Spark columns.
 
 Everything is a built-in expression except Unicode NFKC, which Spark lacks; that
-runs as one Arrow kernel call per batch.
+runs over Arrow batches and skips ASCII texts.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,14 +28,21 @@ RECOGNITION_CJK = (
 UNIT_PATTERN = rf"[{ALIGNMENT_CJK}]|[\p{{L}}\p{{N}}&&[^{ALIGNMENT_CJK}]]+"
 
 
+def _composed(texts: pa.Array) -> pa.Array:
+    """NFKC of each text. Arrow's own kernel leaves letters decomposed, so it is not used."""
+    return pa.array(
+        [t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string()
+    )
+
+
 @F.arrow_udf(schemas.STRING)
 def nfkc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFKC")
+    return _composed(text)
 
 
 @F.arrow_udf(T.ArrayType(schemas.STRING))
 def nfkc_each(texts: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(texts.offsets, pc.utf8_normalize(texts.values, form="NFKC"))
+    return pa.ListArray.from_arrays(texts.offsets, _composed(texts.values))
 
 
 def _col(c: Column | str) -> Column:
