@@ -9,7 +9,7 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from editlens.plans import evaluation_queries
+from editlens.plans import evaluation_queries, table_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 NAMED = re.compile(r"[a-z]\d\d_")
@@ -19,4 +19,4 @@ def registered(module: ModuleType) -> dict[str, Query]:
     return {name: fn for name, fn in inspect.getmembers(module, inspect.isfunction) if NAMED.match(name)}
 
 
-QUERIES: dict[str, Query] = registered(evaluation_queries)
+QUERIES: dict[str, Query] = {**registered(evaluation_queries), **registered(table_queries)}

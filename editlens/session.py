@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def local_session(cores: str = "*", name: str = "editlens") -> SparkSession:
@@ -36,6 +39,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def stored_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A parquet table that may not exist yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core work when the input has fewer files than the session has cores.
 
