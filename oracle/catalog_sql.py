@@ -1,5 +1,5 @@
 """All oracle statements by query name."""
 
-from oracle import evaluation_sql
+from oracle import evaluation_sql, table_sql
 
-SQL = dict(evaluation_sql.SQL)
+SQL = {**evaluation_sql.SQL, **table_sql.SQL}
