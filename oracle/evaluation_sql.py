@@ -425,7 +425,7 @@ SQL = {
     "k10_cosine_similarity": """SELECT a.vec_id, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))
           / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 5) AS similarity
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
-    "k11_change_fraction": with_("SELECT case_id, op_index, round(fraction, 6) AS fraction FROM comp WHERE family = 'prosody'", "comp"),
+    "k11_change_fraction": with_("SELECT case_id, op_index, CASE WHEN fraction = 0 THEN 0 ELSE round(fraction, 6) END AS fraction FROM comp WHERE family = 'prosody'", "comp"),
     "k12_executed": with_("SELECT case_id, op_index, executed FROM comp", "comp"),
     "k13_success": with_("SELECT case_id, op_index, success FROM comp", "comp"),
     "k14_penalty_rows": with_(
