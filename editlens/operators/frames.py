@@ -49,9 +49,10 @@ def frames_in_spans(frames: DataFrame, spans: DataFrame) -> DataFrame:
     inside = (t >= F.col("start") - SLACK) & F.when(F.col("closed"), t <= F.col("end") + SLACK).otherwise(
         t < F.col("end") - SLACK
     )
-    # Both sides come out of explodes, whose size Spark guesses too low; a merge
-    # join keeps it from broadcasting either.
-    return placed.join(cut.hint("merge"), ["case_id", "side", "bucket"]).filter(inside)
+    # Both sides come out of explodes, whose size Spark guesses too low, so nothing
+    # is broadcast. The spans are the build side: a partition holds several frames
+    # for each of its spans, and the bucket in the key keeps partitions even.
+    return placed.join(cut.hint("shuffle_hash"), ["case_id", "side", "bucket"]).filter(inside)
 
 
 def _voiced() -> Column:
