@@ -80,25 +80,19 @@ def span_stats(frames: DataFrame, spans: DataFrame) -> DataFrame:
 def unit_statistics(frames: DataFrame, spans: DataFrame) -> DataFrame:
     """What the evaluation needs: extremes and mean of every unit, medians of pitched ones.
 
-    Extremes and means use plain hash aggregation; only the few units of a pitch
-    operation pay for an exact median. Both branches share the shuffle of the
-    frames.
+    One join and one mergeable aggregation; units outside a pitch operation put
+    nothing into the median.
     """
-    keys = ("case_id", "side", "ord")
-    voiced = frames.filter("hz > 0")
-    plain = (
-        frames_in_spans(voiced, spans)
-        .groupBy(*keys)
-        .agg(F.min("hz").alias("lo"), F.max("hz").alias("hi"), F.avg("hz").alias("mean"))
-        .withColumn("median", F.lit(None).cast("double"))
-    )
-    pitched = (
-        frames_in_spans(voiced, spans.filter("pitched"))
-        .groupBy(*keys)
-        .agg(F.median("hz").alias("median"))
-        .select(*keys, *[F.lit(None).cast("double").alias(c) for c in ("lo", "hi", "mean")], "median")
+    return (
+        frames_in_spans(frames.filter("hz > 0"), spans)
+        .groupBy("case_id", "side", "ord")
+        .agg(
+            F.min("hz").alias("lo"),
+            F.max("hz").alias("hi"),
+            F.avg("hz").alias("mean"),
+            F.median(F.when(F.col("pitched"), F.col("hz"))).alias("median"),
+        )
     )
-    return plain.unionByName(pitched)
 
 
 def stats_by_case(stats: DataFrame) -> DataFrame:
