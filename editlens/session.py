@@ -29,13 +29,19 @@ def local_session(cores: str = "*", name: str = "editlens") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; one of our own only where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder the cluster names.
+
+    Where the setting is unset, a local session gets a folder of its own; a cluster must name one, because
+    executors do not share a machine's temporary folder.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
