@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from editlens.llm import packing, simhash, token_file
+from editlens.llm import language, packing, shards, simhash, token_file
 from editlens.llm.common import table
 from editlens.session import scratch
 
@@ -15,13 +16,23 @@ def op1_token_file(spark: SparkSession, sf: str) -> DataFrame:
     return token_file.read_documents(spark, folder)
 
 
+def op3_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return shards.assign(table(spark, sf, "documents"), 40)
+
+
 def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.groups(table(spark, sf, "documents"))
 
 
+def op9_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").withColumn("held_out", language.held_out())
+    dictionaries = language.learn(docs.filter(~F.col("held_out")), order=F.xxhash64("doc_id", "text"))
+    return language.predict(docs.select("doc_id", "text", "held_out"), dictionaries).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op5_simhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_shards, op5_simhash, op9_language, op10_packing)}
 SQL: dict[str, str] = {}
