@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editlens.llm import language, packing, shards, simhash, token_file
+from editlens.llm import decontaminate, language, line_dedup, packing, shards, simhash, token_file
 from editlens.llm.common import table
 from editlens.session import scratch
 
@@ -24,6 +24,17 @@ def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.groups(table(spark, sf, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """A row for each document and passage of the benchmark in it."""
+    marked = decontaminate.contaminated(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    return marked.select("doc_id", F.inline("leaks")).withColumnRenamed("item", "item_id")
+
+
+def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cleaned = line_dedup.deduplicate(table(spark, sf, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumn("held_out", language.held_out())
     dictionaries = language.learn(docs.filter(~F.col("held_out")), order=F.xxhash64("doc_id", "text"))
@@ -34,5 +45,5 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_shards, op5_simhash, op9_language, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_shards, op5_simhash, op7_decontaminate, op8_line_dedup, op9_language, op10_packing)}
 SQL: dict[str, str] = {}
