@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editlens.llm import decontaminate, language, line_dedup, packing, shards, simhash, token_file
+from editlens.llm import decontaminate, language, line_dedup, order_minhash, packing, shards, simhash, token_file
 from editlens.llm.common import table
 from editlens.session import scratch
 
@@ -16,6 +16,10 @@ def op1_token_file(spark: SparkSession, sf: str) -> DataFrame:
     return token_file.read_documents(spark, folder)
 
 
+def op2_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, sf, "documents"))
+
+
 def op3_shards(spark: SparkSession, sf: str) -> DataFrame:
     return shards.assign(table(spark, sf, "documents"), 40)
 
@@ -45,5 +49,5 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_shards, op5_simhash, op7_decontaminate, op8_line_dedup, op9_language, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_order_minhash, op3_shards, op5_simhash, op7_decontaminate, op8_line_dedup, op9_language, op10_packing)}
 SQL: dict[str, str] = {}
