@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editlens.llm import decontaminate, language, line_dedup, order_minhash, packing, shards, simhash, token_file
+from editlens.llm import decontaminate, html_text, language, line_dedup, order_minhash, packing, shards, simhash, token_file
 from editlens.llm.common import table
 from editlens.session import scratch
 
@@ -24,6 +24,10 @@ def op3_shards(spark: SparkSession, sf: str) -> DataFrame:
     return shards.assign(table(spark, sf, "documents"), 40)
 
 
+def op4_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.groups(table(spark, sf, "documents"))
 
@@ -49,5 +53,5 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_order_minhash, op3_shards, op5_simhash, op7_decontaminate, op8_line_dedup, op9_language, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_order_minhash, op3_shards, op4_html_text, op5_simhash, op7_decontaminate, op8_line_dedup, op9_language, op10_packing)}
 SQL: dict[str, str] = {}
