@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editlens.llm import decontaminate, html_text, language, line_dedup, order_minhash, packing, shards, simhash, token_file
+from editlens.llm import decontaminate, html_text, language, line_dedup, order_minhash, packing, repeats, shards, simhash, token_file
 from editlens.llm.common import table
 from editlens.session import scratch
 
@@ -32,6 +32,11 @@ def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.groups(table(spark, sf, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    cleaned = repeats.remove_repeats(table(spark, sf, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     """A row for each document and passage of the benchmark in it."""
     marked = decontaminate.contaminated(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
@@ -53,5 +58,5 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_order_minhash, op3_shards, op4_html_text, op5_simhash, op7_decontaminate, op8_line_dedup, op9_language, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_order_minhash, op3_shards, op4_html_text, op5_simhash, op6_repeats, op7_decontaminate, op8_line_dedup, op9_language, op10_packing)}
 SQL: dict[str, str] = {}
