@@ -19,35 +19,36 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     """
     width = 2 * threshold + 1
     full = (1 << width) - 1
-    letters, others = F.split(a, ""), F.split(b, "")
-    m, n = F.char_length(a), F.char_length(b)
     start = F.struct(F.lit(full ^ ((1 << threshold) - 1)).alias("p"), F.lit(0).alias("n"), F.lit(threshold).alias("d"))
 
-    def column(state: Column, j: Column) -> Column:
+    def column(state: Column, j: Column, letters: Column, others: Column) -> Column:
         c = F.get(others, j - 1)
         same = [F.when(F.get(letters, j - 1 - threshold + k) == c, 1 << k).otherwise(0) for k in range(width)]
-        equal = sum(same[1:], same[0])
-        return _let(equal, lambda x: _advance(state, j, x))
+        return _let(sum(same[1:], same[0]), lambda x: _advance(state, j, x, F.size(letters)))
 
-    def _advance(state: Column, j: Column, x: Column) -> Column:
+    def _advance(state: Column, j: Column, x: Column, m: Column) -> Column:
         p, neg = state["p"], state["n"]
         diagonal = ((x.bitwiseAND(p) + p).bitwiseXOR(p)).bitwiseOR(x).bitwiseOR(neg).bitwiseAND(F.lit(full))
-        return _let(diagonal, lambda d0: _words(state, j, d0))
+        return _let(diagonal, lambda d0: _words(state, j, d0, m))
 
-    def _words(state: Column, j: Column, d0: Column) -> Column:
+    def _words(state: Column, j: Column, d0: Column, m: Column) -> Column:
         p, neg = state["p"], state["n"]
         rise = neg.bitwiseOR(d0.bitwiseOR(p).bitwiseXOR(F.lit(full)))
         fall = d0.bitwiseAND(p)
-        return _let(F.struct(rise.alias("r"), fall.alias("f"), F.shiftright(d0, 1).alias("s")), lambda w: _next(state, j, d0, w))
+        return _let(F.struct(rise.alias("r"), fall.alias("f"), F.shiftright(d0, 1).alias("s")), lambda w: _next(state, j, d0, w, m))
 
-    def _next(state: Column, j: Column, d0: Column, w: Column) -> Column:
+    def _next(state: Column, j: Column, d0: Column, w: Column, m: Column) -> Column:
         down = F.when(d0.bitwiseAND(F.lit(1 << (width - 1))) == 0, 1).otherwise(0)
         last = [F.call_function("shiftright", w[word], m - j + threshold).bitwiseAND(F.lit(1)) for word in ("r", "f")]
         score = state["d"] + F.when(j <= m - threshold, down).otherwise(last[0] - last[1])
         plus = w["f"].bitwiseOR(w["s"].bitwiseOR(w["r"]).bitwiseXOR(F.lit(full)))
         return F.struct(plus.alias("p"), w["s"].bitwiseAND(w["r"]).alias("n"), score.alias("d"))
 
-    return F.aggregate(F.sequence(F.lit(1), n), start, column, lambda s: s["d"])
+    def over(letters: Column, others: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.size(others))
+        return F.aggregate(steps, start, lambda state, j: column(state, j, letters, others), lambda s: s["d"])
+
+    return _let(F.split(a, ""), lambda letters: _let(F.split(b, ""), lambda others: over(letters, others)))
 
 
 def _let(value: Column, body) -> Column:
@@ -102,7 +103,7 @@ def near_lines(distinct: DataFrame, threshold: int = THRESHOLD, least: int = LEA
 
 
 def _body(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", "")
+    return F.btrim(line, F.lit(" \t\r\f\x0b"))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
