@@ -28,17 +28,24 @@ def plain(text: str) -> str:
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Column | None = None) -> dict[str, bytes]:
-    """A raw-content dictionary for each language, from SAMPLE_ROWS of its rows, chosen by a hash.
+    """A raw-content dictionary for each language, from SAMPLE_ROWS of its rows, those with the smallest hashes.
 
-    Ranking by language keeps only SAMPLE_ROWS rows of a language before it shuffles. The driver gets excerpts of at
-    most SAMPLE_ROWS x EXCERPT letters a language; languages are as few as labels in use.
+    Hashes alone are ranked, and a task sends SAMPLE_ROWS of them a language at most; a second look at the table takes
+    the rows up to the last rank. The driver gets SAMPLE_ROWS excerpts a language; languages are as few as labels in
+    use.
     """
     order = F.xxhash64(F.col(text)) if order is None else order
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
-    some = rows.select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, 4 * EXCERPT).alias("text"), order.alias("at"))
+    some = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), order.alias("at"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
+    hashes = some.select("lang", "at").withColumn("r", rank).filter(F.col("r") <= SAMPLE_ROWS)
+    last = {r["lang"]: r["at"] for r in hashes.groupBy("lang").agg(F.max("at").alias("at")).collect()}
+    if not last:
+        return {}
+    limit = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+    chosen = some.filter(F.col("at") <= limit[F.col("lang")]).select("lang", "at", F.substring("text", 1, 4 * EXCERPT).alias("text"))
     found: dict[str, list[str]] = {}
-    for row in some.withColumn("r", rank).filter(F.col("r") <= SAMPLE_ROWS).orderBy("lang", "r").select("lang", "text").toLocalIterator():
+    for row in chosen.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).filter(F.col("r") <= SAMPLE_ROWS).orderBy("lang", "r").collect():
         found.setdefault(row["lang"], []).append(plain(row["text"])[:EXCERPT])
     return {k: "\n".join(dict.fromkeys(v)).encode()[:DICTIONARY] for k, v in found.items()}
 
