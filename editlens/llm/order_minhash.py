@@ -126,7 +126,7 @@ def with_next(docs: DataFrame, doc_id: str, columns: list[str], ranges: int) ->
     starts = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
     last = max(0, len(bounds) - 1)
     # Null ids come first, in range 0; with them, the first row of all is the guest of the last range.
-    own = F.coalesce(F.size(F.filter(starts, lambda b: b <= F.col(doc_id))) - 1, F.lit(0))
+    own = F.greatest(F.size(F.filter(starts, lambda b: b <= F.col(doc_id))) - 1, F.lit(0))
     begins = F.array_contains(starts, F.col(doc_id)) | F.col(doc_id).isNull()
     guest = F.when(begins & (own > 0), F.array(own, own - 1)).when(begins, F.array(own, F.lit(-1))).otherwise(F.array(own))
     rows = docs.select("*", own.alias("_own"), F.explode(guest).alias("_to"))
