@@ -47,10 +47,10 @@ class Cuts:
         return low
 
 
-def _summary(groups: DataFrame, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Of the groups that end in the spans: last end and number of ends, for SUMMARY parts of the spans at most."""
+def _summary(groups: DataFrame, spans: list[tuple[int, int]], parts: int) -> list[tuple[int, int]]:
+    """Of the groups that end in the spans: last end and number of ends, for about ``parts`` parts of the spans."""
     total = sum(high - low for low, high in spans)
-    step = max(1, -(-total // SUMMARY))
+    step = max(1, total // parts)
     part: Column = F.lit(None).cast("long")
     base = 0
     for low, high in spans:
@@ -72,9 +72,9 @@ def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
     total = groups.agg(F.max("end")).first()[0]
     if total is None:
         return []
-    spans, known = [(0, total)], {}
+    spans, known, parts = [(0, total)], {}, SUMMARY
     while True:
-        fresh = _summary(groups, spans)
+        fresh = _summary(groups, spans, parts)
         # All ends of the spans are now known, or summed up by parts; outside of them the old knowledge holds.
         known = {end: n for end, n in known.items() if not any(low < end <= high for low, high in spans)} | dict(fresh)
         ends = sorted(known)
@@ -82,7 +82,7 @@ def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
         low = cuts.capacity(shards, -(-total // shards), total, relaxed=True)
         high = cuts.capacity(shards, low, total, relaxed=False)
         first, last = cuts.chain(low, shards, relaxed=False), cuts.chain(high, shards, relaxed=True)
-        spans = []
+        looked_at, spans = spans, []
         for a, b in zip(first, last, strict=True):
             i, wide = bisect_right(ends, a), []
             while i < len(ends) and (ends[i - 1] if i else 0) < b:
@@ -97,6 +97,8 @@ def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
                     spans.append((begin, end))
         if low == high and not spans:
             return first
+        if 2 * sum(b - a for a, b in spans) > sum(b - a for a, b in looked_at):
+            parts *= 4  # too coarse for this many shards
 
 
 def assign(docs: DataFrame, shards: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
