@@ -76,7 +76,7 @@ def with_case_sums(evaluation: DataFrame) -> DataFrame:
     """What a case adds to the component figures."""
     size = lambda cond: F.expr(f"size(filter(components, c -> {cond}))")
     total = lambda field, op: F.expr(
-        f"aggregate(filter(components, c -> c.operation = '{op}'), 0D, (a, c) -> a + c.measurement.{field})"
+        f"aggregate(filter(components, c -> c.operation = '{op}' and c.measurement.{field} is not null), 0D, (a, c) -> a + c.measurement.{field})"
     )
     return evaluation.withColumns(
         {
@@ -88,12 +88,18 @@ def with_case_sums(evaluation: DataFrame) -> DataFrame:
             "n_correct": size("c.measurement.correct"),
             "n_rate": size("c.operation = 'rate'"),
             "rate_l1": total("rate_l1", "rate"),
-            "n_pitch": size("c.operation = 'pitch'"),
+            "n_pitch": size("c.operation = 'pitch' and c.measurement.pitch_l1 is not null"),
             "pitch_l1": total("pitch_l1", "pitch"),
         }
     )
 
 
+def unmeasured_pitch(evaluation: DataFrame) -> DataFrame:
+    """Pitch operations that have no pitch distance (a source without F0); they count in no mean."""
+    parts = evaluation.select("case_id", F.explode("components").alias("c")).filter("c.operation = 'pitch' and c.measurement.pitch_l1 is null")
+    return parts.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def outcome_rates() -> list[Column]:
     return [
         ratio(F.sum("n_executed"), F.sum("n_ops")).alias("component_execution_rate"),

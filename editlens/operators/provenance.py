@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -40,8 +39,8 @@ LICENCES = (
     ("WenetSpeech", "CC-BY-4.0", "noncommercial_with_attribution"),
 )
 OWN_TERMS = ("Apache-2.0", "allowed_with_notice")
-EXACT_DIGEST_ROWS = 100_000
-LEAF_ROWS = 1000
+#: Hexadecimal digits of the leaves' prefix; changing it changes every digest.
+DIGEST_DEPTH = 4
 
 
 def _get(path: str, kind: str = "string") -> Column:
@@ -137,31 +136,34 @@ def canonical_json(*names: str) -> Column:
     return F.to_json(F.struct(*names))
 
 
-def tree_digest(df: DataFrame, key: str, leaf: Column, rows: int) -> DataFrame:
+def tree_digest(df: DataFrame, key: str, leaf: Column) -> DataFrame:
     """Order-free digest of a table of any size: leaves by hash prefix, then sixteen to one.
 
-    The prefix grows with the number of rows, so no group exceeds a few thousand.
+    The depth is part of the definition and the same for every table: DIGEST_DEPTH hexadecimal digits, so a leaf holds
+    one row in 65,536 and no group sees more than that or sixteen digests.
     """
-    depth = max(1, math.ceil(math.log(max(rows, 1) / LEAF_ROWS, 16))) if rows > LEAF_ROWS else 1
-    level = df.select(F.sha2(F.col(key).cast("binary"), 256).alias("h"), F.sha2(leaf.cast("binary"), 256).alias("d"))
-    for width in range(depth, -1, -1):
+    level = df.select(F.sha2(F.col(key).cast("binary"), 256).alias("h"), F.sha2(leaf.cast("binary"), 256).alias("d"), F.lit(1).cast("long").alias("n"))
+    for width in range(DIGEST_DEPTH, -1, -1):
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "d"))), lambda x: x["d"]), "")
-        level = level.groupBy(F.substring("h", 1, width).alias("p")).agg(F.sha2(joined.cast("binary"), 256).alias("d"))
+        level = level.groupBy(F.substring("h", 1, width).alias("p")).agg(F.sha2(joined.cast("binary"), 256).alias("d"), F.sum("n").alias("n"))
         level = level.withColumnRenamed("p", "h")
-    return level.select(F.lit(rows).alias("assets"), F.col("d").alias("digest"))
+    return level.select(F.col("n").alias("assets"), F.col("d").alias("digest"))
 
 
-def exact_digest(df: DataFrame) -> DataFrame:
-    """Digest of the canonical JSON list (asset_id, sha256, size_bytes) sorted by id."""
+def list_digest(df: DataFrame) -> DataFrame:
+    """Digest of the canonical JSON list (asset_id, sha256, size_bytes) sorted by id, for exchange with list-based tools.
+
+    The list is one value, so this is only for inventories that the caller knows to be small; ``inventory_digest`` has
+    no such limit and never changes to this one.
+    """
     row = F.struct("asset_id", "sha256", "size_bytes")
     text = F.to_json(F.array_sort(F.collect_list(row)))
     return df.agg(F.count(F.lit(1)).alias("assets"), F.sha2(text.cast("binary"), 256).alias("digest"))
 
 
-def inventory_digest(df: DataFrame, exact_rows: int = EXACT_DIGEST_ROWS) -> DataFrame:
-    """The list digest where the whole list is small enough for one row, else the tree digest."""
-    rows = df.count()
-    return exact_digest(df) if rows <= exact_rows else tree_digest(df, "asset_id", canonical_json("asset_id", "sha256", "size_bytes"), rows)
+def inventory_digest(df: DataFrame) -> DataFrame:
+    """The tree digest of an asset inventory, one definition at every size."""
+    return tree_digest(df, "asset_id", canonical_json("asset_id", "sha256", "size_bytes"))
 
 
 def diff_contract(canonical: DataFrame, actual: DataFrame, fixed: list[str]) -> DataFrame:

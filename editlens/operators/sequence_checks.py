@@ -9,20 +9,19 @@ BLOCK = 4096
 
 
 def with_previous(df: DataFrame, key: str, order: str, *columns: str, block: int = BLOCK) -> DataFrame:
-    """Add ``prev_<column>`` of the row before, by a dense ordinal.
+    """Add ``prev_<column>`` of the row before in ``order``, whatever gaps the ordinals have.
 
-    The window runs over blocks of the ordinal. The last row of a block is also
-    sent to the next block, where it only serves as predecessor, so no task has
-    to hold a whole sequence.
+    A window runs over blocks of the ordinal. The first row of a block takes the last row of the block before it that
+    has rows, from a table with one row a block, so no task has to hold a whole sequence.
     """
-    last = F.col(order) % block == block - 1
-    copies = F.when(last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    placed = df.withColumn("_carry", F.explode(copies)).withColumn(
-        "_block", F.floor(F.col(order) / block) + F.col("_carry")
-    )
+    placed = df.withColumn("_block", F.floor(F.col(order) / block))
+    tails = placed.groupBy(key, "_block").agg(F.max_by(F.struct(*columns), order).alias("_tail"))
+    earlier = F.lag("_tail").over(Window.partitionBy(key).orderBy("_block"))
+    tails = tails.select(key, "_block", earlier.alias("_tail"))
     window = Window.partitionBy(key, "_block").orderBy(order)
-    lagged = placed.select("*", *[F.lag(c).over(window).alias(f"prev_{c}") for c in columns])
-    return lagged.filter("_carry = 0").drop("_carry", "_block")
+    before = F.coalesce(F.lag(F.struct(*columns)).over(window), F.col("_tail"))
+    joined = placed.join(tails, [key, "_block"]).withColumn("_before", before)
+    return joined.select(*df.columns, *[F.col("_before")[c].alias(f"prev_{c}") for c in columns])
 
 
 def monotone_violations(segments: DataFrame, key: str) -> DataFrame:

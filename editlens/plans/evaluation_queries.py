@@ -380,6 +380,11 @@ def a06_category_metrics(spark, sf):
     return rounded(rows.groupBy("category").agg(*aggregate.category_metrics()))
 
 
+def a06_unmeasured_pitch(spark, sf):
+    """Pitch operations left out of the mean, by case."""
+    return aggregate.unmeasured_pitch(evaluation(spark, sf))
+
+
 def a07_summarize(spark, sf):
     return rounded(aggregate.summarize(evaluation(spark, sf)))
 

@@ -344,7 +344,7 @@ def a12_inventory_digest(spark, sf):
 
 def a12_tree_digest(spark, sf):
     inventory = _inventory(spark, sf)
-    return provenance.tree_digest(inventory, "asset_id", provenance.canonical_json("asset_id", "sha256", "size_bytes"), inventory.count())
+    return provenance.tree_digest(inventory, "asset_id", provenance.canonical_json("asset_id", "sha256", "size_bytes"))
 
 
 def a13_request_counts(spark, sf):
@@ -616,7 +616,7 @@ def u02_generator(spark, sf):
     cases = fixtures.cases(spark, sf)
     steps = case_ops.sequential_plan(cases)
     sources = cases.selectExpr("case_id", "sha2(cast(source_text as binary), 256) as input_sha256")
-    return plugins.apply_generator(steps, sources, _stand_in, 2).groupBy("step", "status").agg(F.count("*").alias("n"))
+    return plugins.apply_generator(steps, sources, _stand_in).groupBy("step", "status").agg(F.count("*").alias("n"))
 
 
 def u03_planner(spark, sf):

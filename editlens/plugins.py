@@ -65,12 +65,12 @@ GENERATED = T.StructType(
 )
 
 
-def apply_generator(steps: DataFrame, sources: DataFrame, generate: Batch, waves: int) -> DataFrame:
+def apply_generator(steps: DataFrame, sources: DataFrame, generate: Batch) -> DataFrame:
     """Run chained steps: step n works on the output of step n - 1.
 
     ``steps``: case_id, step, xml; ``sources``: case_id, input_sha256;
     ``generate`` adds output_sha256 (null with an ``error``) to a batch. There are as many waves as the longest
-    plan has steps. A finished wave is checkpointed, so a lost executor does not
+    plan has steps; an empty plan gives no rows. A finished wave is checkpointed, so a lost executor does not
     repeat it; a failed step ends its chain with a row, any other error stops the
     job.
     """
@@ -82,8 +82,9 @@ def apply_generator(steps: DataFrame, sources: DataFrame, generate: Batch, waves
             done["status"] = done["output_sha256"].notna().map({True: "ok", False: "error"})
             yield done[GENERATED.names]
 
-    current, finished = sources.select("case_id", "input_sha256"), []
-    for wave in range(waves):
+    last = steps.agg(F.max("step")).first()[0]
+    current, finished = sources.select("case_id", "input_sha256"), [steps.sparkSession.createDataFrame([], GENERATED)]
+    for wave in range(0 if last is None else last + 1):
         todo = steps.filter(F.col("step") == wave).select("case_id", "step", "xml").join(current, "case_id")
         result = todo.mapInPandas(run, GENERATED).checkpoint()
         finished.append(result)

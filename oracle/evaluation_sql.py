@@ -242,7 +242,7 @@ cte(
       JOIN other_regions y ON y.case_id = cs.case_id JOIN dtw ON dtw.case_id = cs.case_id JOIN f0 ON f0.case_id = cs.case_id
       JOIN (SELECT case_id, count(*) AS n_ops, count(*) FILTER (executed) AS n_executed, count(*) FILTER (success) AS n_success,
           count(*) FILTER (correct) AS n_correct, count(*) FILTER (kind = 'rate') AS n_rate, coalesce(sum(rate_l1), 0) AS rate_l1,
-          count(*) FILTER (kind = 'pitch') AS n_pitch, coalesce(sum(pitch_l1), 0) AS pitch_l1 FROM comp GROUP BY case_id) k ON k.case_id = cs.case_id""",
+          count(*) FILTER (kind = 'pitch' AND pitch_l1 IS NOT NULL) AS n_pitch, coalesce(sum(pitch_l1), 0) AS pitch_l1 FROM comp GROUP BY case_id) k ON k.case_id = cs.case_id""",
     "cs",
     "cats",
     "er",
@@ -462,6 +462,7 @@ SQL = {
     ),
     "a05_outcome_rates": with_(f"SELECT category, {OUTCOMES_R} FROM ev GROUP BY category", "ev"),
     "a06_category_metrics": with_(f"SELECT category, {CATEGORY} FROM ev GROUP BY category", "ev"),
+    "a06_unmeasured_pitch": with_("SELECT case_id, count(*) AS n FROM comp WHERE kind = 'pitch' AND pitch_l1 IS NULL GROUP BY case_id", "comp"),
     "a07_summarize": with_(
         f"""SELECT category, shard, CASE WHEN grouping(shard) = 1 THEN 'category' ELSE 'shard' END AS level, {GROUP}, {CATEGORY}
         FROM ev GROUP BY GROUPING SETS ((category), (category, shard))""",

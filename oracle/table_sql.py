@@ -179,6 +179,11 @@ COMMANDS = " UNION ALL ".join(
 )
 V = lambda check, cond, detail, src, key="case_id": f"SELECT '{check}' AS \"check\", {key} AS key, '{detail}' AS detail FROM {src} WHERE {cond}"
 
+TREE_DIGEST = "SELECT sha256(asset_id) AS p, sha256('{\"asset_id\":\"' || asset_id || '\",\"sha256\":\"' || sha256 || '\",\"size_bytes\":' || size_bytes || '}') AS d, 1 AS n FROM inventory"
+for _width in (4, 3, 2, 1, 0):
+    TREE_DIGEST = f"SELECT substr(p, 1, {_width}) AS p, sha256(string_agg(d, '' ORDER BY p, d)) AS d, sum(n) AS n FROM ({TREE_DIGEST}) GROUP BY substr(p, 1, {_width})"
+TREE_DIGEST = f"SELECT CAST(n AS BIGINT) AS assets, d AS digest FROM ({TREE_DIGEST})"
+
 SQL = {
     "s01_manifest_scan": with_(
         "SELECT category, shard, cs.case_id, language, sha256(source_text) AS sha256, n AS units FROM cs JOIN cats ON cats.case_id = cs.case_id", "cs", "cats"
@@ -201,7 +206,7 @@ SQL = {
     ),
     "s11_receipt": with_(
         """SELECT assets, digest, kind, count(*) AS n FROM (SELECT asset_id, min_by(kind, [language, source, CAST(size_bytes AS VARCHAR), kind]) AS kind FROM assets GROUP BY 1),
-        (SELECT count(*) AS assets, sha256('[' || string_agg('{"asset_id":"' || asset_id || '","sha256":"' || sha256 || '","size_bytes":' || size_bytes || '}', ',' ORDER BY asset_id) || ']') AS digest FROM inventory)
+        (""" + TREE_DIGEST + """)
         GROUP BY ALL""",
         "assets",
         "inventory",
@@ -319,15 +324,8 @@ SQL = {
         UNION ALL SELECT DISTINCT 'no recipe', asset_id FROM assets WHERE doc_id % 4 <> 0 AND asset_id NOT IN (SELECT asset_id FROM assets WHERE doc_id % 5 <> 0)""",
         "assets",
     ),
-    "a12_inventory_digest": with_(
-        """SELECT count(*) AS assets, sha256('[' || string_agg('{"asset_id":"' || asset_id || '","sha256":"' || sha256 || '","size_bytes":' || size_bytes || '}', ',' ORDER BY asset_id) || ']') AS digest FROM inventory""",
-        "inventory",
-    ),
-    "a12_tree_digest": with_(
-        """SELECT any_value(n) AS assets, sha256(sha256(string_agg(d, '' ORDER BY p))) AS digest FROM (SELECT p, any_value(n) AS n, sha256(string_agg(d, '' ORDER BY h)) AS d FROM (
-          SELECT sha256(asset_id) AS h, substr(sha256(asset_id), 1, 1) AS p, sha256('{"asset_id":"' || asset_id || '","sha256":"' || sha256 || '","size_bytes":' || size_bytes || '}') AS d, count(*) OVER () AS n FROM inventory) GROUP BY p)""",
-        "inventory",
-    ).replace("sha256(sha256(string_agg(d, '' ORDER BY p)))", "sha256(string_agg(d, '' ORDER BY p))"),
+    "a12_inventory_digest": with_(f"SELECT * FROM ({TREE_DIGEST})", "inventory"),
+    "a12_tree_digest": with_(f"SELECT * FROM ({TREE_DIGEST})", "inventory"),
     "a13_request_counts": with_("SELECT 'unique' AS mode, count(DISTINCT key) AS n FROM refs UNION ALL SELECT mode, count(*) FROM refs GROUP BY mode", "refs"),
     "a14_recipe_counts": with_("SELECT kind, count(*) AS n FROM assets GROUP BY kind", "assets"),
     "a15_alignment_counts": with_("SELECT CASE WHEN substr(asset_id, 1, 1) < '4' THEN 'generated' ELSE 'reused' END AS alignment_source, count(*) AS n FROM assets GROUP BY 1", "assets"),

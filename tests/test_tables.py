@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from editlens import schemas
+from editlens import plugins, schemas
 from editlens.operators import aggregate, provenance, quality, requests, sequence_checks, skew
 from editlens.session import scratch
 from editlens.streaming import logs
@@ -101,16 +101,47 @@ def test_previous_row_across_blocks(spark):
     assert [r.ord for r in sequence_checks.monotone_violations(df, "k").collect()] == [17]
 
 
+def test_previous_row_across_gaps(spark):
+    df = spark.createDataFrame([("a", i, float(i), i + 1.0) for i in (0, 5, 6, 7, 40, 41, 90)], "k string, ord int, start double, end double")
+    got = sequence_checks.with_previous(df, "k", "ord", "start", block=7).orderBy("ord").collect()
+    assert [r.prev_start for r in got] == [None, 0.0, 5.0, 6.0, 7.0, 40.0, 41.0]
+
+
+def test_every_step_of_a_long_plan_runs(spark):
+    steps = spark.createDataFrame([("c", i, "x") for i in range(5)] + [("d", 0, "x")], "case_id string, step int, xml string")
+    sources = spark.createDataFrame([("c", "1"), ("d", "1")], "case_id string, input_sha256 string")
+    done = plugins.apply_generator(steps, sources, lambda b: b.assign(output_sha256=b["input_sha256"] + "a", error=None))
+    assert sorted((r.case_id, r.step, r.output_sha256) for r in done.collect()) == [("c", i, "1" + "a" * (i + 1)) for i in range(5)] + [("d", 0, "1a")]
+    assert plugins.apply_generator(steps.limit(0), sources, None).count() == 0
+
+
+@pytest.mark.parametrize("n", [99_999, 100_001])
+def test_one_digest_rule_at_every_size(spark, n):
+    import hashlib
+
+    level = {}
+    for i in range(n):
+        key = hashlib.sha256(f"a{i}".encode()).hexdigest()
+        level.setdefault(key[:4], []).append((key, hashlib.sha256(f'{{"asset_id":"a{i}","sha256":"s","size_bytes":{i}}}'.encode()).hexdigest()))
+    for width in (3, 2, 1, 0, None):
+        joined = [(k, hashlib.sha256("".join(d for _, d in sorted(v)).encode()).hexdigest()) for k, v in level.items()]
+        level = {}
+        for k, d in joined:
+            level.setdefault(k[:width] if width is not None else None, []).append((k, d))
+    table = spark.range(n).selectExpr("concat('a', id) as asset_id", "'s' as sha256", "id as size_bytes")
+    assert provenance.inventory_digest(table).first() == (n, level[None][0][1])
+
+
 def test_digest_ignores_order_and_sees_changes(spark):
     rows = [(f"a{i}", f"s{i}", i) for i in range(50)]
     table = lambda r: spark.createDataFrame(r, "asset_id string, sha256 string, size_bytes long")
-    tree = lambda r: provenance.tree_digest(table(r), "asset_id", provenance.canonical_json("asset_id", "sha256", "size_bytes"), 5000).first().digest
+    tree = lambda r: provenance.tree_digest(table(r), "asset_id", provenance.canonical_json("asset_id", "sha256", "size_bytes")).first().digest
     assert tree(rows) == tree(rows[::-1]) != tree([("a0", "s0", 1), *rows[1:]])
     import hashlib
     import json
 
     want = json.dumps([{"asset_id": a, "sha256": s, "size_bytes": n} for a, s, n in sorted(rows)], separators=(",", ":"))
-    assert provenance.exact_digest(table(rows)).first().digest == hashlib.sha256(want.encode()).hexdigest()
+    assert provenance.list_digest(table(rows)).first().digest == hashlib.sha256(want.encode()).hexdigest()
 
 
 def test_request_key_is_the_digest_of_the_json(spark):
