@@ -75,6 +75,7 @@ COMMANDS = (
     ("local", "en", "pitch", "-", "Lower the pitch by {m} semitones."),
     ("local", "en", "rate", "", "Adjust the speech speed to {p}x."),
 )
+# The labels that are offered and the seed of their order.
 EMOTION_LABELS = ("happy", "angry", "sad", "afraid", "disgusted", "melancholic", "surprised", "calm")
 LABEL_SEED = "gemini-emotion-audio-v1"
 MAX_ATTEMPTS = 5
@@ -174,9 +175,13 @@ def smallest_unique(text: str, start: int, end: int) -> tuple[int, int] | None:
     right end is found by bisection, and left ends stop once they alone are too
     far away.
     """
-    bounds = unit_bounds(text)
-    lefts = sorted({0, start, *(b[0] for b in bounds if b[0] <= start)}, reverse=True)
-    rights = sorted({len(text), end, *(b[1] for b in bounds if b[1] >= end)})
+    lefts, rights = [0], [len(text)]
+    for begin, stop, *_ in unit_bounds(text):
+        if begin <= start:
+            lefts.append(begin)
+        if stop >= end:
+            rights.append(stop)
+    lefts, rights = sorted({*lefts, start}, reverse=True), sorted({*rights, end})
     best: tuple[int, int] | None = None
     for a in lefts:
         if best is not None and rights[0] - a > best[0]:

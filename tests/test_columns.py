@@ -162,14 +162,19 @@ def test_unique_context_counts_overlaps():
 
 
 def brute_context(content, start, end):
+    """Windows by length, then place: the first that holds the edit, begins and ends at unit bounds and occurs once."""
     from editlens.functions.instructions import unit_bounds
 
-    bounds = unit_bounds(content)
-    lefts = {0, start, *(b[0] for b in bounds if b[0] <= start)}
-    rights = {len(content), end, *(b[1] for b in bounds if b[1] >= end)}
-    count = lambda p: sum(content.startswith(p, i) for i in range(len(content)))
-    found = [(b - a, a) for a in lefts for b in rights if a < b and count(content[a:b]) == 1]
-    return (min(found)[1], min(found)[1] + min(found)[0]) if found else None
+    starts, ends = {0, start}, {len(content), end}
+    for begin, stop, *_ in unit_bounds(content):
+        starts.add(begin)
+        ends.add(stop)
+    for length in range(1, len(content) + 1):
+        windows = [content[i : i + length] for i in range(len(content) - length + 1)]
+        for at, window in enumerate(windows):
+            if at in starts and at + length in ends and at <= start and end <= at + length and windows.count(window) == 1:
+                return at, at + length
+    return None
 
 
 def test_unique_context_is_smallest():
