@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from editlens.llm.common import stored
+
 #: Edits allowed between two lines, and the least length of a line that may differ; shorter lines must be equal.
 THRESHOLD = 2
 LEAST = 20
@@ -66,10 +68,15 @@ def _segments(body: Column, length: Column, threshold: int) -> Column:
     keys = []
     for i in range(threshold + 1):
         begin, end = _start(i, length, threshold), _start(i + 1, length, threshold)
-        keys.append(F.xxhash64(F.lit(i), length, F.substr(body, begin + 1, end - begin)))
+        keys.append(_key(i, length, F.substr(body, begin + 1, end - begin)))
     return F.array(*keys)
 
 
+def _key(segment: int, length: Column, part: Column) -> Column:
+    """48 bits of a hash: a wrong meeting only costs a comparison, and short keys shuffle less."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(segment), length, part), 16)
+
+
 def _probes(body: Column, length: Column, threshold: int) -> Column:
     """Keys under which a line finds lines of its length or up to the threshold shorter.
 
@@ -82,7 +89,7 @@ def _probes(body: Column, length: Column, threshold: int) -> Column:
         for i in range(threshold + 1):
             begin, end = _start(i, other, threshold), _start(i + 1, other, threshold)
             for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + threshold - i) + 1):
-                keys.append(F.xxhash64(F.lit(i), other, F.substr(body, begin + shift + 1, end - begin)))
+                keys.append(_key(i, other, F.substr(body, begin + shift + 1, end - begin)))
     return F.array(*keys)
 
 
@@ -120,9 +127,10 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
     order = (F.xxhash64(F.col(doc_id), F.col(text)), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     keyed = docs.drop("n_lines", "n_removed").withColumns({"_k1": order[0], "_k2": order[1]})
     exploded = keyed.select(F.col(doc_id).alias("id"), "_k1", "_k2", F.posexplode(F.split(F.col(text), "\n")).alias("no", "raw"))
-    lines = exploded.withColumn("body", _body(F.col("raw"))).filter("body <> ''").withColumn("line", F.unhex(F.md5("body")))
+    lines = exploded.withColumn("body", _body(F.col("raw"))).filter("body <> ''").withColumns({"line": F.xxhash64("body"), "check": F.crc32(F.col("body").cast("binary"))})
     distinct = lines.groupBy("line").agg(F.first("body").alias("body"))
-    firsts = lines.groupBy("line").agg(F.min(F.struct("id", "_k1", "_k2", "no")).alias("at"))
+    # Lines are equal if both hashes are; near lines are looked up by the first, and compared by their text.
+    firsts = stored(lines.groupBy("line", "check").agg(F.min(F.struct("id", "_k1", "_k2", "no")).alias("at")))
     near = near_lines(distinct, threshold, least)
     both = near.union(near.select("b", "a")).toDF("line", "other")
     before = both.join(firsts.select(F.col("line").alias("other"), F.col("at").alias("other_at")), "other").groupBy("line").agg(F.min("other_at").alias("other_at"))
