@@ -6,9 +6,9 @@ Burrows-Wheeler transforms, this is done in rounds: a round starts from the inte
 stretch of text, and never sorts suffixes again; an interval with one suffix has found its longest common prefix and
 leaves. Three things make the rounds few and wide:
 
-- Suffixes are followed in runs. Each 400-byte window has an anchor, its smallest 16-byte gram (the last of equal ones);
+- Suffixes are followed in runs. Each 400-byte window has an anchor, its smallest 64-byte gram (the last of equal ones);
   equal windows have equal anchors in equal places, so neighbouring windows of one anchor stay together.
-- Depths are 16 bytes (the anchor), 385 bytes (what 16 neighbouring windows share) and 400 bytes.
+- Depths are 64 bytes (the anchor), 385 bytes (what 16 neighbouring windows share) and 400 bytes.
 - Shards send the sizes of their intervals, which are added up before and after the shuffle, never lists of suffixes.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from editlens.llm.common import stored
 
 #: Length of a repeated string, of an anchor, and number of neighbouring windows in a stretch.
-LENGTH, GRAM, STRETCH = 400, 16, 16
+LENGTH, GRAM, STRETCH = 400, 64, 16
 SPAN = LENGTH - GRAM + 1
 CORE = LENGTH - STRETCH + 1
 #: Window starts looked at together, so that memory is bounded for a text of any length.
@@ -37,9 +37,13 @@ U = np.uint64
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the GRAM bytes at each place."""
     words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<u8")[:, 0]
-    h = words[:-8] * U(0x9E3779B185EBCA87) ^ (words[8:] * U(0xC2B2AE3D27D4EB4F) >> U(17))
-    h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
-    return h ^ (h >> U(29))
+    n = len(data) - GRAM + 1
+    h = np.zeros(n, dtype=U)
+    for at in range(0, GRAM, 8):
+        h = (h ^ words[at : at + n]) * U(0x9E3779B185EBCA87)
+        h ^= h >> U(29)
+    h *= U(0xD6E8FEB86659FD93)
+    return h ^ (h >> U(32))
 
 
 def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -138,17 +142,17 @@ def _refined(suffixes: DataFrame, *prefix: str) -> tuple[DataFrame, DataFrame]:
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """``(k1, k2, spans)``: byte ranges covered by a string of LENGTH bytes that also starts elsewhere.
 
-    ``keyed`` has ``k1``, ``k2`` (never null) and ``text``; rows of equal keys have equal texts.
+    ``keyed`` has ``k1``, ``k2`` (never null), ``text`` and perhaps more; rows of equal keys have equal texts.
     """
-    found = stored(keyed.mapInArrow(_find_anchors, "gram long, whole long, k1 long, k2 long, anchor long, low long, high long"))
+    found = stored(keyed.select("k1", "k2", "text").mapInArrow(_find_anchors, "gram long, whole long, k1 long, k2 long, anchor long, low long, high long"))
     equal1, open1 = _refined(found, "gram")
     spans1 = equal1.select("k1", "k2", "low", (F.col("high") + LENGTH).alias("end"))
     runs = open1.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "low", "high")).alias("runs"))
-    # Rows of equal keys are documents of equal text: each counts, so their runs are cut as often as there are rows.
-    texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    joined = runs.join(texts, ["k1", "k2"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    # Each document of equal keys is cut by itself. All columns of keyed go along, so that a later join on the keys can
+    # use the same shuffle of the texts.
+    joined = keyed.join(runs, ["k1", "k2"])
     schema = "core binary, whole long, head binary, tail binary, k1 long, k2 long, base long, near long, far long"
-    cut = stored(joined.select("k1", "k2", "text", "runs").mapInArrow(_cut_stretches, schema))
+    cut = stored(joined.mapInArrow(_cut_stretches, schema))
     equal2, open2 = _refined(cut, "core")
     spans2 = equal2.select("k1", "k2", (F.col("base") - F.col("far")).alias("low"), (F.col("base") - F.col("near") + LENGTH).alias("end"))
     single = open2.withColumn("d", F.explode(F.sequence("near", "far"))).withColumns(
@@ -178,7 +182,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     and text are separate documents of equal text. Other columns are ignored; an empty table gives no rows.
     """
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[c.alias(k) for k, c in keys(doc_id, text).items()])
-    spans = repeated_spans(keyed.select("k1", "k2", "text"))
+    spans = repeated_spans(keyed)
     id_type = dict(keyed.dtypes)["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
