@@ -173,15 +173,14 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
-    """Attempt log: an event of three of the types is one attempt of its user's request."""
+    """Attempt log: every event is one attempt of its user's request; a view is one that is still under way."""
     return (
         spread(spark.read.parquet(f"{sf}/events.parquet"))
-        .filter("event_type in ('purchase', 'error', 'signup')")
         .selectExpr(
             "user_id as key",
             "event_id",
             "ts",
-            "case event_type when 'purchase' then 'ok' when 'error' then 'error' else 'unsupported' end as status",
+            "case event_type when 'purchase' then 'ok' when 'view' then 'running' when 'signup' then 'unsupported' else 'error' end as status",
             "concat('value ', cast(cast(round(value * 100) as bigint) as string)) as error",
         )
     )

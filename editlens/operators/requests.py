@@ -79,6 +79,8 @@ COMMANDS = (
 EMOTION_LABELS = ("happy", "angry", "sad", "afraid", "disgusted", "melancholic", "surprised", "calm")
 LABEL_SEED = "gemini-emotion-audio-v1"
 MAX_ATTEMPTS = 5
+# Fixed value: the error of an attempt that was under way when its process stopped.
+IN_FLIGHT = "Previous process stopped before recording a response"
 FRAME_RATE = 50
 PAUSE_STEP = 0.2
 # Feedback added to a prompt after a refusal and after an error.
@@ -160,7 +162,7 @@ def native_tags(xml: str = "instruction_xml") -> Column:
     """Fragment in the attribute dialect: bare numbers for prosody, a fixed level elsewhere."""
     value = F.regexp_replace(xml, r"""<(pitch|rate)\s+(semitones|factor)\s*=\s*["']([^"']*)["']\s*>""", "<$1, $2=$3>")
     value = F.regexp_replace(value, r"<((?:emo|pause)\b[^>]*?)\s*/>", '<$1 level="2"/>')
-    return F.regexp_replace(value, r"<(emo\b[^>]*?[^/\s>])\s*>", '<$1 level="2">')
+    return F.regexp_replace(value, r"<((?:emo|pause)\b[^>]*?[^/\s>])\s*>", '<$1 level="2">')
 
 
 def _occurs_once(text: str, phrase: str) -> bool:
@@ -301,6 +303,12 @@ def split_cached(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
     return requests.join(terminal, "key"), requests.join(terminal, "key", "left_anti")
 
 
+def settled(log: DataFrame) -> DataFrame:
+    """Attempts as a resumed run sees them: one still running has failed and counts."""
+    running = F.col("status") == "running"
+    return log.withColumns({"error": F.when(running, IN_FLIGHT).otherwise(F.col("error")), "status": F.when(running, "error").otherwise(F.col("status"))})
+
+
 def number_attempts(log: DataFrame) -> DataFrame:
     """The first five attempts of each request, numbered, with the one before.
 
@@ -308,7 +316,7 @@ def number_attempts(log: DataFrame) -> DataFrame:
     so a request with a huge log sends five rows per task.
     """
     order = Window.partitionBy("key").orderBy("ts", "event_id")
-    first = log.withColumn("number", F.row_number().over(order)).filter(F.col("number") <= MAX_ATTEMPTS)
+    first = settled(log).withColumn("number", F.row_number().over(order)).filter(F.col("number") <= MAX_ATTEMPTS)
     return first.withColumns(
         {"previous_status": F.lag("status").over(order), "previous_error": F.lag("error").over(order)}
     )

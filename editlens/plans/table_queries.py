@@ -94,9 +94,9 @@ def s08_summary_sink(spark, sf):
     path = scratch(spark)
     cases = score.penalise(fixtures.cases(spark, sf))
     totals = cases.agg(F.count("*").alias("evaluated"), F.count_if("penalty_applied").alias("penalized"))
-    runlog.write_summary(totals.select(F.lit("incomplete").alias("status"), F.struct(*totals.columns).alias("metrics")), path)
-    runlog.write_summary(totals.select(F.lit("complete").alias("status"), F.struct(*totals.columns).alias("metrics")), path)
-    return spark.read.parquet(path).select("status", "metrics.*")
+    runlog.write_summary(totals.select(F.lit("incomplete").alias("status"), F.struct(*totals.columns).alias("metrics")), path, 0)
+    runlog.write_summary(totals.select(F.lit("complete").alias("status"), F.struct(*totals.columns).alias("metrics")), path, 1)
+    return runlog.read_summary(spark, path).select("status", "metrics.*")
 
 
 def s09_content_sink(spark, sf):
@@ -564,7 +564,7 @@ def r01_stream_runlog(spark, sf):
 def r02_stream_progress(spark, sf):
     table = scratch(spark)
     logs.stream_progress(_event_log(spark, sf), table, scratch(spark))
-    return spark.read.parquet(table)
+    return runlog.read_summary(spark, table)
 
 
 def _ordered_stream(spark, sf):

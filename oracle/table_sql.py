@@ -17,13 +17,14 @@ cte(
 cte("inventory", "SELECT DISTINCT asset_id, asset_id AS sha256, size_bytes FROM assets", "assets")
 cte(
     "log",
-    """SELECT user_id AS key, event_id, ts, CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'error' ELSE 'unsupported' END AS status,
-      'value ' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS error FROM events WHERE event_type IN ('purchase', 'error', 'signup')""",
+    """SELECT user_id AS key, event_id, ts, CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'view' THEN 'running' WHEN 'signup' THEN 'unsupported' ELSE 'error' END AS status,
+      'value ' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS error FROM events""",
 )
 cte(
     "numbered",
     """SELECT *, lag(status) OVER (PARTITION BY key ORDER BY ts, event_id) AS previous_status, lag(error) OVER (PARTITION BY key ORDER BY ts, event_id) AS previous_error
-    FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS number FROM log) WHERE number <= 5""",
+    FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS number
+      FROM (SELECT * REPLACE (CASE status WHEN 'running' THEN 'error' ELSE status END AS status, CASE status WHEN 'running' THEN 'Previous process stopped before recording a response' ELSE error END AS error) FROM log)) WHERE number <= 5""",
     "log",
 )
 cte(

@@ -41,16 +41,23 @@ def attempt_log(spark, **runs):
 
 def test_attempts(spark):
     log = attempt_log(
-        spark, retry=["error", "unsupported", "ok", "error"], refused=["unsupported"] * 5, mixed=["error"] * 4 + ["unsupported", "ok"], short=["error"]
+        spark, retry=["error", "unsupported", "ok", "error"], refused=["unsupported"] * 5, mixed=["running"] * 4 + ["unsupported", "ok"], short=["running"], stopped=["error"] * 4 + ["running"]
     )
     got = {r.key: (r.status, r.attempts) for r in requests.terminal_status(log).collect()}
-    assert got == {0: ("ok", 3), 1: ("unsupported", 5), 2: ("unsupported", 5), 3: ("pending", 1)}
+    assert got == {0: ("ok", 3), 1: ("unsupported", 5), 2: ("unsupported", 5), 3: ("pending", 1), 4: ("error", 5)}
+    numbered = requests.number_attempts(log).filter("key = 3").first()
+    assert (numbered.status, numbered.error) == ("error", requests.IN_FLIGHT)
+
+
+def test_native_pause_gets_a_level_in_both_forms(spark):
+    xml = spark.createDataFrame([('a<pause act="ins"/>b',), ('a<pause act="ins"></pause>b',)], "instruction_xml string")
+    assert [r.x for r in xml.select(requests.native_tags().alias("x")).collect()] == ['a<pause act="ins" level="2"/>b', 'a<pause act="ins" level="2"></pause>b']
 
 
 def test_streamed_attempts_resume(spark):
     """The same answer when the log arrives in two parts and the job is restarted between them."""
     path, table, point = scratch(spark), scratch(spark), scratch(spark)
-    log = attempt_log(spark, retry=["error", "unsupported", "ok", "error"], refused=["unsupported"] * 5, mixed=["error"] * 4 + ["unsupported", "ok"])
+    log = attempt_log(spark, retry=["error", "unsupported", "ok", "error"], refused=["unsupported"] * 5, mixed=["running"] * 4 + ["unsupported", "ok"], stopped=["error"] * 4 + ["running"])
     for part in ("event_id < 2", "event_id >= 2"):
         log.filter(part).coalesce(1).write.mode("append").json(path)
         stream = spark.readStream.schema("key long, event_id long, ts timestamp, status string").json(path)
