@@ -10,6 +10,8 @@ from editlens.llm.common import stored
 #: Edits allowed between two lines, and the least length of a line that may differ; shorter lines must be equal.
 THRESHOLD = 2
 LEAST = 20
+#: Columns after which a pair that is far apart is given up.
+GLANCE = 16
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -97,7 +99,7 @@ def near_lines(distinct: DataFrame, threshold: int = THRESHOLD, least: int = LEA
     """Pairs ``(a, b)`` of ids of different lines within the threshold. ``distinct`` has ``line`` (an id) and ``body``.
 
     A line within t edits of another keeps one of its t+1 segments whole, so the two meet under a key. The lines of a
-    pair both have at least ``least`` characters.
+    pair both have at least ``least`` characters, which must be GLANCE and the threshold at least.
     """
     sized = distinct.withColumn("length", F.char_length("body")).filter(F.col("length") >= least)
     index = sized.select(F.col("line").alias("a"), F.explode(_segments(F.col("body"), F.col("length"), threshold)).alias("key"))
@@ -106,7 +108,18 @@ def near_lines(distinct: DataFrame, threshold: int = THRESHOLD, least: int = LEA
     left = distinct.select(F.col("line").alias("a"), F.col("body").alias("body_a"))
     right = distinct.select(F.col("line").alias("b"), F.col("body").alias("body_b"))
     pairs = met.join(left, "a").join(right, "b")
-    return pairs.filter(banded_distance(F.col("body_a"), F.col("body_b"), threshold) <= threshold).select("a", "b")
+    return pairs.filter(_within(F.col("body_a"), F.col("body_b"), threshold)).select("a", "b")
+
+
+def _within(a: Column, b: Column, threshold: int) -> Column:
+    """Whether the distance is within the threshold, given up early: first both ends are compared, then all.
+
+    After GLANCE columns the lowest diagonal of the band is at most 2t above the best one, so a pair within t has at
+    most 3t there.
+    """
+    ends = ((a, b), (F.reverse(a), F.reverse(b)))
+    early = [banded_distance(F.left(x, F.lit(GLANCE + threshold)), F.left(y, F.lit(GLANCE)), threshold) <= 3 * threshold for x, y in ends]
+    return early[0] & early[1] & (banded_distance(a, b, threshold) <= threshold)
 
 
 def _body(line: Column) -> Column:
