@@ -8,7 +8,7 @@ leaves. Three things make the rounds few and wide:
 
 - Suffixes are followed in runs. Each 400-byte window has an anchor, its smallest 64-byte gram (the last of equal ones);
   equal windows have equal anchors in equal places, so neighbouring windows of one anchor stay together.
-- Depths are 64 bytes (the anchor), 385 bytes (what 16 neighbouring windows share) and 400 bytes.
+- Depths are 273 bytes (what 128 neighbouring windows of an anchor share), 385 bytes (16 windows) and 400 bytes.
 - Shards send the sizes of their intervals, which are added up before and after the shuffle, never lists of suffixes.
 """
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from editlens.llm.common import stored
 
-#: Length of a repeated string, of an anchor, and number of neighbouring windows in a stretch.
-LENGTH, GRAM, STRETCH = 400, 64, 16
+#: Length of a repeated string, of an anchor, and numbers of neighbouring windows in a stretch and in a wide one.
+LENGTH, GRAM, STRETCH, WIDE = 400, 64, 16, 128
 SPAN = LENGTH - GRAM + 1
 CORE = LENGTH - STRETCH + 1
 #: Window starts looked at together, so that memory is bounded for a text of any length.
@@ -81,16 +81,20 @@ def _data(text: str | None) -> bytes:
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["gram", "whole", "k1", "k2", "anchor", "low", "high"]
+    names = ["core", "whole", "k1", "k2", "anchor", "low", "high"]
     types = [pa.int64()] * 7
     for batch in batches:
         rows: list[tuple] = []
         for k1, k2, text in zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), batch["text"], strict=True):
             data = _data(text.as_py())
-            for grams, places, lows, highs in anchors(data):
-                for gram, place, low, high in zip(grams.view(np.int64).tolist(), places.tolist(), lows.tolist(), highs.tolist(), strict=True):
-                    whole = xxhash.xxh3_64_intdigest(data[low : high + LENGTH], place - low) - (1 << 63)
-                    rows.append((gram, whole, k1, k2, place, low, high))
+            for _, places, lows, highs in anchors(data):
+                for place, first, last in zip(places.tolist(), lows.tolist(), highs.tolist(), strict=True):
+                    for b in range((place - last) // WIDE, (place - first) // WIDE + 1):
+                        base = place - b * WIDE
+                        low, high = max(first, base - WIDE + 1), min(last, base)
+                        core = xxhash.xxh3_64_intdigest(data[base : base + LENGTH - WIDE + 1], b) - (1 << 63)
+                        whole = xxhash.xxh3_64_intdigest(data[low : high + LENGTH], base - low) - (1 << 63)
+                        rows.append((core, whole, k1, k2, place, low, high))
             if len(rows) > 100_000:
                 yield _record(names, types, rows)
                 rows = []
@@ -144,8 +148,8 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
 
     ``keyed`` has ``k1``, ``k2`` (never null), ``text`` and perhaps more; rows of equal keys have equal texts.
     """
-    found = stored(keyed.select("k1", "k2", "text").mapInArrow(_find_anchors, "gram long, whole long, k1 long, k2 long, anchor long, low long, high long"))
-    equal1, open1 = _refined(found, "gram")
+    found = stored(keyed.select("k1", "k2", "text").mapInArrow(_find_anchors, "core long, whole long, k1 long, k2 long, anchor long, low long, high long"))
+    equal1, open1 = _refined(found, "core")
     spans1 = equal1.select("k1", "k2", "low", (F.col("high") + LENGTH).alias("end"))
     runs = open1.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "low", "high")).alias("runs"))
     # Each document of equal keys is cut by itself. All columns of keyed go along, so that a later join on the keys can
