@@ -23,6 +23,8 @@ WIDE_WORDS, WIDE_BLOCK, PIVOTS = 48, 24, 8
 
 #: What a similarity estimated from a wide fingerprint may fall short of the true one.
 ESTIMATE_ERROR = 0.02
+#: What a product of a similarity and a count may exceed a whole number by.
+ROUNDING = 1e-9
 
 
 def word_lists(text: str) -> Iterator[list[bytes]]:
@@ -52,11 +54,20 @@ def shingle_hashes(text: str, width: int) -> Iterator[np.ndarray]:
         yield np.array([xxhash.xxh64_intdigest(b" ".join(kept), SEED)], dtype=np.uint64)
 
 
-def fingerprint(text: str | None, width: int, words: int) -> np.ndarray:
-    """64-bit words of the SimHash; word 0 uses the hashes themselves, the others a mixed form of them."""
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingles' hashes in ascending order."""
+    parts = list(shingle_hashes(text or "", width))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def fingerprint(text: str | None, width: int, words: int, distinct: bool = False) -> np.ndarray:
+    """64-bit words of the SimHash; word 0 uses the hashes themselves, the others a mixed form of them.
+
+    Every occurrence of a shingle has a vote, or with ``distinct`` every shingle.
+    """
     counts = np.zeros((words, 64), dtype=np.int64)
     total = 0
-    for hashes in shingle_hashes(text or "", width):
+    for hashes in [shingle_set(text, width)] if distinct else shingle_hashes(text or "", width):
         for part in np.array_split(hashes, max(1, len(hashes) // 8192)):
             total += len(part)
             counts += bit_counts(np.stack([part if w == 0 else _mixed(part, w) for w in range(words)]))
@@ -89,12 +100,12 @@ def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def simhash(text: Column, width: int, words: int = 1) -> Column:
+def simhash(text: Column, width: int, words: int = 1, distinct: bool = False) -> Column:
     """The fingerprint as an array of longs. Null and blank texts have all bits zero."""
 
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, width, words).view(np.int64).tolist() for t in texts])
+        return pd.Series([fingerprint(t, width, words, distinct).view(np.int64).tolist() for t in texts])
 
     return of(text)
 
@@ -154,13 +165,39 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     return prints.join(named, "f").select("doc_id", hexed, "component_id", "links")
 
 
+def shingles(text: Column, width: int) -> Column:
+    """The distinct shingles' hashes as an array of longs."""
+
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, width).view(np.int64).tolist() for t in texts])
+
+    return of(text)
+
+
+def verified(candidates: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose shingle sets have at least this Jaccard similarity, of ``texts(node, _text)``.
+
+    Two empty sets are equal. Sets are made of the candidates' texts only.
+    """
+    nodes = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = stored(texts.join(nodes, "node").select("node", shingles(F.col("_text"), width).alias("s")))
+    left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+    small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    pairs = candidates.join(left, "a").join(right, "b").filter(small >= similarity * large - ROUNDING)
+    return pairs.filter(common >= similarity * (small + large - common) - ROUNDING).select("a", "b")
+
+
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each near-duplicate group stays: the one with the smallest id, then the smallest text.
 
     Fingerprints have 48 words of 64 bits over five-word shingles and are split into 128 blocks of 24 bits. Texts whose
     shingle sets have a Jaccard similarity of 0.8 differ in about 15 % of the bits; at 0.8 and 0.85 a pair shares a
-    block with a probability of 0.95 and over 0.99. Pairs that share a block are verified: their distance may not
-    exceed the share of bits that the similarity, less its estimate's error, stands for. Equal texts are one class
+    block with a probability of 0.95 and over 0.99. Every shingle of a text votes once. Pairs that share a block and whose
+    distance does not exceed the share of bits that the similarity, less its estimate's error, stands for are verified
+    by their shingle sets. Equal texts are one class
     beforehand, and null and empty texts are equal. In blocks of more than SMALL members, members are compared with
     PIVOTS of them, other ones in each of the 128 tables, which links a dense group without its pairs.
     """
@@ -168,7 +205,7 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     digest = F.sha2(body, 256)
     marked = stored(docs.withColumns({"_digest": digest, "_row": F.monotonically_increasing_id()}))
     classes = marked.groupBy("_digest").agg(F.min(F.struct(F.col(doc_id).isNull(), doc_id, "_row")).alias("_best"), F.min_by(body, F.col("_row")).alias("_text"))
-    prints = stored(classes.select(F.xxhash64("_digest").alias("node"), "_best", simhash(F.col("_text"), width, WIDE_WORDS).alias("f")))
+    prints = stored(classes.select(F.xxhash64("_digest").alias("node"), "_best", simhash(F.col("_text"), width, WIDE_WORDS, distinct=True).alias("f")))
     blocks = WIDE_WORDS * 64 // WIDE_BLOCK
     keys = []
     for i in range(blocks):
@@ -194,8 +231,9 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     limit = int(np.arccos(cosine) / np.pi * WIDE_WORDS * 64)
     left = prints.select(F.col("node").alias("a"), F.col("f").alias("fa"))
     right = prints.select(F.col("node").alias("b"), F.col("f").alias("fb"))
-    pairs = candidates.join(left, "a").join(right, "b").filter(distance(F.col("fa"), F.col("fb")) <= limit).select("a", "b")
-    roots = components(pairs)
+    close = candidates.join(left, "a").join(right, "b").filter(distance(F.col("fa"), F.col("fb")) <= limit).select("a", "b")
+    texts = marked.join(prints.select("node", F.col("_best._row").alias("_row")), "_row").select("node", body.alias("_text"))
+    roots = components(verified(stored(close), texts, width, similarity))
     best = prints.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("_best").alias("_best"))
     kept = best.select(F.col("_best._row").alias("_row"))
     return marked.join(kept, "_row", "left_semi").drop("_digest", "_row")

@@ -423,3 +423,9 @@ def test_numbered(spark):
     frame = spark.createDataFrame([(i * 37 % 101, None if i % 9 == 0 else i) for i in range(101)], "a long, b long")
     got = sorted(((r["_n"], r.a) for r in numbered(frame, "a").collect()))
     assert [g[0] for g in got] == list(range(101)) and [g[1] for g in got] == sorted(g[1] for g in got)
+
+
+def test_a_repeated_shingle_links_no_unrelated_texts(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join([f"{rng.getrandbits(40):x}" for _ in range(200)] + ["-"] * 24)) for i in range(6)]
+    assert simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).count() == 6
