@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,10 +16,10 @@ from editlens.llm.common import components, stored
 
 SEED = 42
 PIECE = 1 << 20
-#: Members up to which a block's pairs are compared one by one.
+#: Members up to which a block's pairs are compared one by one, or of a block's part that a task compares with the block.
 SMALL = 256
-#: Of the wide fingerprint: words of 64 bits, bits a block, pivots a large block.
-WIDE_WORDS, WIDE_BLOCK, PIVOTS = 48, 24, 8
+#: Of the wide fingerprint: words of 64 bits and bits a block. Members of a key that the others are compared with first.
+WIDE_WORDS, WIDE_BLOCK, PIVOTS = 48, 24, 4
 
 #: What a similarity estimated from a wide fingerprint may fall short of the true one.
 ESTIMATE_ERROR = 0.02
@@ -190,6 +190,30 @@ def verified(candidates: DataFrame, texts: DataFrame, width: int, similarity: fl
     return pairs.filter(common >= similarity * (small + large - common) - ROUNDING).select("a", "b")
 
 
+def linked(shared: DataFrame, checked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components ``(node, root)`` of the pairs that share a key and that ``checked`` leaves, of ``shared(node, k, n)``.
+
+    First the members of a key are compared with a few of them, which are the same ones for keys of the same members,
+    and links make components. Then, whatever the size of a key, all pairs of its members that are in different
+    components and were not compared yet are: pairs inside a component cannot change it, so no link that counts is
+    lost. Keys of many members are spread over tasks for that.
+    """
+    slots = [F.min(F.struct(F.xxhash64("node", F.lit(i)), "node")).getField("node") for i in range(PIVOTS)]
+    pivots = shared.groupBy("k").agg(F.array_distinct(F.array(*slots)).alias("ps"))
+    starred = shared.join(pivots, "k").select(F.col("node").alias("a"), F.explode("ps").alias("b")).filter("a <> b")
+    first = stored(starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    near = checked(first)
+    known = shared.join(components(near), "node", "left").select("node", "k", "n", F.coalesce("root", "node").alias("root"))
+    mixed = known.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("k")
+    rest = stored(known.join(mixed, "k").withColumn("salts", F.ceil(F.col("n") / SMALL).cast("int")))
+    a = rest.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).alias("a")
+    b = rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("b")
+    same = (F.col("a.k") == F.col("b.k")) & (F.col("a.salt") == F.col("b.salt"))
+    met = a.join(b, same & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")))
+    others = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    return components(near.union(checked(others)))
+
+
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each near-duplicate group stays: the one with the smallest id, then the smallest text.
 
@@ -198,8 +222,8 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     block with a probability of 0.95 and over 0.99. Every shingle of a text votes once. Pairs that share a block and whose
     distance does not exceed the share of bits that the similarity, less its estimate's error, stands for are verified
     by their shingle sets. Equal texts are one class
-    beforehand, and null and empty texts are equal. In blocks of more than SMALL members, members are compared with
-    PIVOTS of them, other ones in each of the 128 tables, which links a dense group without its pairs.
+    beforehand, and null and empty texts are equal. Blocks of any size are compared in full, less what cannot matter
+    (see ``linked``).
     """
     body = F.coalesce(F.col(text), F.lit(""))
     digest = F.sha2(body, 256)
@@ -218,22 +242,17 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = prints.select("node", F.explode(F.array(*keys)).alias("k"))
     sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = stored(rows.join(sizes, "k"))
-    few = shared.filter(F.col("n") <= SMALL)
-    a, b = few.alias("a"), few.alias("b")
-    met = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.node") < F.col("b.node"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    many = shared.filter(F.col("n") > SMALL)
-    slots = [F.min(F.struct(F.xxhash64("node", "k", F.lit(i)), "node")).getField("node") for i in range(PIVOTS)]
-    pivots = many.groupBy("k").agg(F.array(*slots).alias("ps"))
-    starred = many.join(pivots, "k").select(F.col("node").alias("a"), F.explode(F.array_distinct("ps")).alias("b")).filter("a <> b")
-    starred = starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    candidates = met.union(starred).distinct()
     cosine = 2 * (similarity - ESTIMATE_ERROR) / (1 + similarity - ESTIMATE_ERROR)
     limit = int(np.arccos(cosine) / np.pi * WIDE_WORDS * 64)
     left = prints.select(F.col("node").alias("a"), F.col("f").alias("fa"))
     right = prints.select(F.col("node").alias("b"), F.col("f").alias("fb"))
-    close = candidates.join(left, "a").join(right, "b").filter(distance(F.col("fa"), F.col("fb")) <= limit).select("a", "b")
     texts = marked.join(prints.select("node", F.col("_best._row").alias("_row")), "_row").select("node", body.alias("_text"))
-    roots = components(verified(stored(close), texts, width, similarity))
+
+    def checked(candidates: DataFrame) -> DataFrame:
+        close = candidates.join(left, "a").join(right, "b").filter(distance(F.col("fa"), F.col("fb")) <= limit).select("a", "b")
+        return stored(verified(stored(close), texts, width, similarity))
+
+    roots = linked(shared, checked)
     best = prints.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("_best").alias("_best"))
     kept = best.select(F.col("_best._row").alias("_row"))
     return marked.join(kept, "_row", "left_semi").drop("_digest", "_row")

@@ -429,3 +429,12 @@ def test_a_repeated_shingle_links_no_unrelated_texts(spark):
     rng = random.Random(6)
     rows = [(i, " ".join([f"{rng.getrandbits(40):x}" for _ in range(200)] + ["-"] * 24)) for i in range(6)]
     assert simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).count() == 6
+
+
+def test_keys_of_any_size_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", 2)
+    monkeypatch.setattr(simhash, "PIVOTS", 1)
+    shared = spark.createDataFrame([(i, 1, 40) for i in range(40)] + [(i, 2, 20) for i in range(0, 40, 2)], "node long, k long, n long")
+    near = spark.createDataFrame([(i, i + 20) for i in range(20)], "a long, b long")
+    got = simhash.linked(shared, lambda pairs: pairs.join(near, ["a", "b"])).collect()
+    assert {r.node: r.root for r in got} == {i: i % 20 for i in range(40)}
