@@ -1,9 +1,10 @@
-"""SimHash near-duplicates: fingerprints are split so that close pairs share a block, joined on blocks, then verified."""
+"""Near duplicates by SimHash (blocks that close fingerprints share) and by shingle sets (shingles that close sets share)."""
 
 from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,13 +17,12 @@ from editlens.llm.common import components, stored
 
 SEED = 42
 PIECE = 1 << 20
-#: Members up to which a block's pairs are compared one by one, or of a block's part that a task compares with the block.
+#: Members up to which a bucket's pairs are compared one by one, or of a key's part that a task compares with all of them.
 SMALL = 256
-#: Of the wide fingerprint: words of 64 bits and bits a block. Members of a key that the others are compared with first.
-WIDE_WORDS, WIDE_BLOCK, PIVOTS = 48, 24, 4
-
-#: What a similarity estimated from a wide fingerprint may fall short of the true one.
-ESTIMATE_ERROR = 0.02
+#: Members of a key that the others are compared with first.
+PIVOTS = 4
+#: One text in SAMPLE is looked at for common shingles; the texts of it that have one, and how many of them are kept.
+SAMPLE, SAMPLE_HITS, COMMON = 16, 8, 200_000
 #: What a product of a similarity and a count may exceed a whole number by.
 ROUNDING = 1e-9
 
@@ -60,17 +60,14 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
 
 
-def fingerprint(text: str | None, width: int, words: int, distinct: bool = False) -> np.ndarray:
-    """64-bit words of the SimHash; word 0 uses the hashes themselves, the others a mixed form of them.
-
-    Every occurrence of a shingle has a vote, or with ``distinct`` every shingle.
-    """
-    counts = np.zeros((words, 64), dtype=np.int64)
+def fingerprint(text: str | None, width: int) -> np.ndarray:
+    """The SimHash as one 64-bit word; every occurrence of a shingle has a vote."""
+    counts = np.zeros((1, 64), dtype=np.int64)
     total = 0
-    for hashes in [shingle_set(text, width)] if distinct else shingle_hashes(text or "", width):
+    for hashes in shingle_hashes(text or "", width):
         for part in np.array_split(hashes, max(1, len(hashes) // 8192)):
             total += len(part)
-            counts += bit_counts(np.stack([part if w == 0 else _mixed(part, w) for w in range(words)]))
+            counts += bit_counts(part[np.newaxis])
     return np.packbits(2 * counts > total, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
@@ -92,28 +89,16 @@ def bit_counts(values: np.ndarray) -> np.ndarray:
     return counts
 
 
-def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
-    """Another 64 bits from each hash: the finalising step of SplitMix64 on a shifted sequence."""
-    z = hashes + np.uint64(0x9E3779B97F4A7C15 * word % (1 << 64))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def simhash(text: Column, width: int, words: int = 1, distinct: bool = False) -> Column:
+def simhash(text: Column, width: int) -> Column:
     """The fingerprint as an array of longs. Null and blank texts have all bits zero."""
 
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, width, words, distinct).view(np.int64).tolist() for t in texts])
+        return pd.Series([fingerprint(t, width).view(np.int64).tolist() for t in texts])
 
     return of(text)
 
 
-def distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
 def close_pairs(prints: DataFrame) -> DataFrame:
     """All pairs ``(a, b)`` of distinct 64-bit fingerprints ``f`` that differ in at most two bits.
 
@@ -214,45 +199,53 @@ def linked(shared: DataFrame, checked: Callable[[DataFrame], DataFrame]) -> Data
     return components(near.union(checked(others)))
 
 
+def common_shingles(classes: DataFrame, text: str, width: int) -> np.ndarray:
+    """Hashes of shingles that SAMPLE_HITS or more texts of a sample have, at most COMMON of them, in ascending order."""
+    some = classes.filter(F.pmod(F.xxhash64("_digest"), F.lit(SAMPLE)) == 0).select(F.explode(shingles(F.col(text), width)).alias("k"))
+    often = some.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SAMPLE_HITS)
+    return np.sort(np.array([r["k"] for r in often.orderBy(F.desc("n"), "k").limit(COMMON).collect()], dtype=np.int64).view(np.uint64))
+
+
+def prefix(text: str | None, width: int, similarity: float, common: np.ndarray) -> list[int]:
+    """The shingles of which a text shares at least one with any text of this similarity; [0] for a blank text.
+
+    Of n shingles, ceil(similarity n) at least are shared, so in one order of all shingles two such texts share one
+    among the first n - ceil(similarity n) + 1 of each. Common shingles come last in that order.
+    """
+    own = shingle_set(text, width)
+    if not len(own):
+        return [0]
+    if len(common):
+        often = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+        own = np.concatenate((own[~often], own[often]))
+    return own[: len(own) - math.ceil(similarity * len(own) - ROUNDING) + 1].view(np.int64).tolist()
+
+
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each near-duplicate group stays: the one with the smallest id, then the smallest text.
 
-    Fingerprints have 48 words of 64 bits over five-word shingles and are split into 128 blocks of 24 bits. Texts whose
-    shingle sets have a Jaccard similarity of 0.8 differ in about 15 % of the bits; at 0.8 and 0.85 a pair shares a
-    block with a probability of 0.95 and over 0.99. Every shingle of a text votes once. Pairs that share a block and whose
-    distance does not exceed the share of bits that the similarity, less its estimate's error, stands for are verified
-    by their shingle sets. Equal texts are one class
-    beforehand, and null and empty texts are equal. Blocks of any size are compared in full, less what cannot matter
-    (see ``linked``).
+    Texts are linked if the Jaccard similarity of their sets of five-word shingles is at least 0.8, without exception:
+    a text's keys are a prefix of its shingles (see ``prefix``), which texts that similar share one of, and keys of any
+    size are compared in full, less what cannot matter (see ``linked``). Pairs are verified by their sets. Which
+    shingles count as common is drawn from a sample and changes the work, not the result. Equal texts are one class
+    beforehand, and null and empty texts are equal; blank texts are linked.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    digest = F.sha2(body, 256)
-    marked = stored(docs.withColumns({"_digest": digest, "_row": F.monotonically_increasing_id()}))
-    classes = marked.groupBy("_digest").agg(F.min(F.struct(F.col(doc_id).isNull(), doc_id, "_row")).alias("_best"), F.min_by(body, F.col("_row")).alias("_text"))
-    prints = stored(classes.select(F.xxhash64("_digest").alias("node"), "_best", simhash(F.col("_text"), width, WIDE_WORDS, distinct=True).alias("f")))
-    blocks = WIDE_WORDS * 64 // WIDE_BLOCK
-    keys = []
-    for i in range(blocks):
-        bit = i * WIDE_BLOCK
-        word, off = bit // 64, bit % 64
-        part = F.shiftrightunsigned(F.col("f")[word], off)
-        if off + WIDE_BLOCK > 64:
-            part = part.bitwiseOR(F.shiftleft(F.col("f")[word + 1], 64 - off))
-        keys.append(F.lit(i << WIDE_BLOCK).cast("long") + part.bitwiseAND(F.lit((1 << WIDE_BLOCK) - 1)))
-    rows = prints.select("node", F.explode(F.array(*keys)).alias("k"))
-    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = stored(rows.join(sizes, "k"))
-    cosine = 2 * (similarity - ESTIMATE_ERROR) / (1 + similarity - ESTIMATE_ERROR)
-    limit = int(np.arccos(cosine) / np.pi * WIDE_WORDS * 64)
-    left = prints.select(F.col("node").alias("a"), F.col("f").alias("fa"))
-    right = prints.select(F.col("node").alias("b"), F.col("f").alias("fb"))
-    texts = marked.join(prints.select("node", F.col("_best._row").alias("_row")), "_row").select("node", body.alias("_text"))
-
-    def checked(candidates: DataFrame) -> DataFrame:
-        close = candidates.join(left, "a").join(right, "b").filter(distance(F.col("fa"), F.col("fb")) <= limit).select("a", "b")
-        return stored(verified(stored(close), texts, width, similarity))
+    marked = stored(docs.withColumns({"_digest": F.sha2(body, 256), "_row": F.monotonically_increasing_id()}))
+    common = common_shingles(marked.withColumn("_text", body), "_text", width)
 
-    roots = linked(shared, checked)
+    @F.pandas_udf("array<long>")
+    def keys(texts: pd.Series) -> pd.Series:
+        return pd.Series([prefix(t, width, similarity, common) for t in texts])
+
+    rows = marked.select("_digest", F.struct(F.col(doc_id).isNull(), doc_id, "_row").alias("_best"), keys(body).alias("ks"))
+    classes = rows.groupBy("_digest").agg(F.min_by("ks", "_best").alias("ks"), F.min("_best").alias("_best"))
+    prints = stored(classes.select(F.xxhash64("_digest").alias("node"), "_best", "ks"))
+    keyed = prints.select("node", F.explode("ks").alias("k"))
+    sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = stored(keyed.join(sizes, "k"))
+    texts = marked.join(prints.select("node", F.col("_best._row").alias("_row")), "_row").select("node", body.alias("_text"))
+    roots = linked(shared, lambda candidates: stored(verified(stored(candidates), texts, width, similarity)))
     best = prints.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("_best").alias("_best"))
     kept = best.select(F.col("_best._row").alias("_row"))
     return marked.join(kept, "_row", "left_semi").drop("_digest", "_row")

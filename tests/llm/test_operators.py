@@ -438,3 +438,20 @@ def test_keys_of_any_size_lose_no_link(spark, monkeypatch):
     near = spark.createDataFrame([(i, i + 20) for i in range(20)], "a long, b long")
     got = simhash.linked(shared, lambda pairs: pairs.join(near, ["a", "b"])).collect()
     assert {r.node: r.root for r in got} == {i: i % 20 for i in range(40)}
+
+
+def test_recall_is_whole_from_the_similarity_up(spark, monkeypatch):
+    """Made pairs of 396 shingles each, 40 of a similarity, half of them in one family that shares a template."""
+    monkeypatch.setattr(simhash, "SMALL", 5)
+    rng = random.Random(1)
+    new = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]
+    template, rows, want = new(280), [], {0.78: set(), 0.80: set(), 0.82: set(), 0.85: set()}
+    for similarity, ids in want.items():
+        shared = -int(-2 * 396 * similarity / (1 + similarity) // 1)
+        for p in range(40):
+            words = template + new(120) if p % 2 else new(400)
+            ids.add(len(rows) + 1)
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[: shared + 4] + new(396 - shared)))]
+    kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(0, len(rows), 2)) <= kept
+    assert {s: len(ids - kept) for s, ids in want.items()} == {0.78: 0, 0.80: 40, 0.82: 40, 0.85: 40}
