@@ -43,15 +43,34 @@ OUTSIDE_NAMES = frozenset(
     "toolbar widget widgets".split()
 )
 READERS = frozenset("comment comments disqus replies reply respond".split())
+# What may stand beside such a name in one class or id; with any other word it says something else.
+BESIDE_NAMES = frozenset(
+    "a area bar block bottom box btn button buttons container desktop div fixed form global header icons inner item items "
+    "left link links list main mobile module of page panel post posts primary right secondary section site sticky text "
+    "the title top wrap wrapper".split()
+)
+PAGE_TAGS = frozenset("html body main article".split())
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WORDS = re.compile(r"[^\W\d_]+")
 
 #: A block of this many words can be decided by its stop words alone.
 LONG_WORDS = 10
-STOP_HIGH, STOP_LOW, LINKS_HIGH = 0.30, 0.12, 0.5
+#: The same in letters, on pages in a language without known stop words.
+LONG_LETTERS = 50
+STOP_HIGH, STOP_KNOWN, STOP_LOW, LINKS_HIGH = 0.30, 0.20, 0.12, 0.5
 GOOD, BAD = True, False
 
 
+def names_in(value: str) -> set[str]:
+    """The names of OUTSIDE_NAMES that whole classes or ids consist of, words of BESIDE_NAMES aside."""
+    found: set[str] = set()
+    for name in value.split():
+        parts = {n.lower() for n in NAME_PARTS.findall(name)}
+        if parts <= OUTSIDE_NAMES | BESIDE_NAMES | READERS:
+            found |= parts & (OUTSIDE_NAMES | READERS)
+    return found
+
+
 class Block:
     __slots__ = ("parts", "linked", "zone", "tag")
 
@@ -67,9 +86,14 @@ class Block:
 class Reader(HTMLParser):
     """Cuts a page into blocks, each with its zone: article, outside, comments or page."""
 
-    def __init__(self) -> None:
+    def __init__(self, exempt: frozenset[int] = frozenset()) -> None:
+        """``exempt``: elements, by their place among those with such names, whose names do not count."""
         super().__init__(convert_charrefs=True)
+        self.exempt = exempt
         self.open: list[tuple[str, str]] = []
+        self.wrappers: list[tuple[int, str]] = []
+        self.inside: list[tuple[int, int]] = []
+        self.unlinked: dict[int, int] = {-1: 0}
         self.silent = self.links = 0
         self.blocks: list[Block] = []
         self.block = Block("page", "")
@@ -85,12 +109,19 @@ class Reader(HTMLParser):
 
     def _zone_of(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
         given = {k: v or "" for k, v in attrs}
-        names = {n.lower() for n in NAME_PARTS.findall(f"{given.get('class', '')} {given.get('id', '')}")}
         zone = self.zone
+        names = set() if tag in PAGE_TAGS else names_in(f"{given.get('class', '')} {given.get('id', '')}")
+        if names:
+            at = len(self.wrappers)
+            self.wrappers.append((at, "comments" if names & READERS else "outside"))
+            self.inside.append((len(self.open), at))
+            self.unlinked[at] = 0
+            if at in self.exempt:
+                names = set()
         if zone == "comments" or names & READERS:
             return "comments"
         hidden = "hidden" in given or given.get("aria-hidden") == "true"
-        if hidden or tag in OUTSIDE or given.get("role") in OUTSIDE_ROLES or (tag not in ("body", "html", "main", "article") and names & OUTSIDE_NAMES):
+        if hidden or tag in OUTSIDE or given.get("role") in OUTSIDE_ROLES or names & OUTSIDE_NAMES:
             return "outside"
         if tag in ("article", "main") or given.get("role") in ("main", "article"):
             return "outside" if any(t == "aside" for t, _ in self.open) else "article"
@@ -126,6 +157,8 @@ class Reader(HTMLParser):
                 self._cut(tag)
             return
         closed, self.open = self.open[at:], self.open[:at]
+        while self.inside and self.inside[-1][0] >= at:
+            self.inside.pop()
         self.silent -= sum(t in SILENT for t, _ in closed)
         self.links -= sum(t == "a" for t, _ in closed)
         if any(t in BLOCKS for t, _ in closed) or self.block.zone != self.zone:
@@ -136,6 +169,9 @@ class Reader(HTMLParser):
             self.block.parts.append(data)
             if self.links:
                 self.linked(data)
+            else:
+                for at in (-1, *(w for _, w in self.inside)):
+                    self.unlinked[at] += len(data.strip())
 
     def linked(self, data: str) -> None:
         self.block.linked += len(data.strip())
@@ -147,8 +183,8 @@ class Reader(HTMLParser):
         return [b for b in self.blocks if b.text]
 
 
-def first_pass(block: Block) -> bool | None:
-    """Good, bad or undecided, from the block alone."""
+def first_pass(block: Block, known: bool = True) -> bool | None:
+    """Good, bad or undecided, from the block alone; if no language is ``known``, its length decides."""
     text = block.text
     if block.zone in ("outside", "comments"):
         return BAD
@@ -158,6 +194,8 @@ def first_pass(block: Block) -> bool | None:
     density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if block.zone == "article":
         return GOOD if len(words) >= LONG_WORDS and density >= STOP_LOW else None
+    if not known:
+        return GOOD if len(words) >= LONG_WORDS or sum(map(len, words)) >= LONG_LETTERS else None
     if len(words) < LONG_WORDS:
         return None
     return GOOD if density >= STOP_HIGH else None if density >= STOP_LOW else BAD
@@ -197,21 +235,41 @@ def _nearest(blocks: list[Block], labels: list[bool | None], order: range) -> li
     return found
 
 
-def main_text(html: str | None) -> str:
-    blocks = Reader().finish(html or "")
-    labels = [first_pass(b) for b in blocks]
+def known_language(blocks: list[Block]) -> bool:
+    """Whether the unmarked blocks that are no link lists, or a long one of them, have as many stop words as a text of
+    their languages."""
+    free = [WORDS.findall(b.text.lower()) for b in blocks if b.zone == "page" and b.linked <= LINKS_HIGH * len(b.text)]
+    counts = [(sum(w in STOP_WORDS for w in words), len(words)) for words in free]
+    return sum(c for c, _ in counts) >= STOP_KNOWN * sum(n for _, n in counts) or any(n >= LONG_WORDS and c >= STOP_HIGH * n for c, n in counts)
+
+
+def judged(blocks: list[Block]) -> str:
+    known = known_language(blocks)
+    labels = [first_pass(b, known) for b in blocks]
     final = second_pass(blocks, labels)
     if any(good and b.zone == "article" for good, b in zip(final, blocks, strict=True)):
         final = [good and b.zone == "article" for good, b in zip(final, blocks, strict=True)]
     return " ".join(b.text for good, b in zip(final, blocks, strict=True) if good)
 
 
+def main_text(html: str | None) -> str:
+    """An element that holds most of the text outside links is no outside part by its name alone.
+
+    For reader comments, which can be longer than the text, that is so only if nothing else is left.
+    """
+    reader = Reader()
+    text = judged(reader.finish(html or ""))
+    most = {(at, kind) for at, kind in reader.wrappers if 2 * reader.unlinked[at] > reader.unlinked[-1]}
+    exempt = frozenset(at for at, kind in most if kind == "outside" or not text)
+    return judged(Reader(exempt).finish(html or "")) if exempt else text
+
+
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add ``text`` (main text, empty if there is none) and ``n_chars`` (its code points) to every row.
 
     Blocks in parts of the page that are marked as menu, header, footer, sidebar, form, advert, notice or reader
     comments are bad; otherwise link density, length and the share of stop words decide, or leave it open for the
-    second pass. If an article or main element has good blocks, only its blocks count. Character references are
+    second pass; on pages with hardly any known stop word, link density and length alone. If an article or main element has good blocks, only its blocks count. Character references are
     decoded, white space inside a block is one space, blocks are joined by one space. Null and empty pages give an
     empty text; repeated rows are treated alike; all other columns stay (those two names are replaced).
     """

@@ -455,3 +455,22 @@ def test_recall_is_whole_from_the_similarity_up(spark, monkeypatch):
     kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(range(0, len(rows), 2)) <= kept
     assert {s: len(ids - kept) for s, ids in want.items()} == {0.78: 0, 0.80: 40, 0.82: 40, 0.85: 40}
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<body class="singular showing-comments"><article><p>T</p></article></body>', "T"),
+        ('<body class="no-comments"><article class="post comments-closed"><p>T</p></article></body>', "T"),
+        ('<div class="content with-sidebar"><p>{}</p></div>', "{}"),
+        ('<div class="has-sidebar"><p>{}</p><div class="site-footer">that is not the text of the page or so it is</div></div>', "{}"),
+        ('<div class="widget-content"><p>{}</p></div><div id=comments><p>this is what I have to say of it and so it is</p></div>', "{}"),
+        ('<div class="widget"><p>{}</p></div><p>Short.</p>', "{} Short."),
+        ("<div class=share>this is to be shared with all of them and so it is</div><p>{0}</p><p>{0}</p>", "{0} {0}"),
+        ("<ul><li><a href=1>Etusivu</a></ul><p>Tämä on sivun varsinainen teksti, jota lukija etsii, ja se jatkuu vielä pitkään.</p>", "Tämä on sivun varsinainen teksti, jota lukija etsii, ja se jatkuu vielä pitkään."),
+        ("<p>" + "吾輩は猫である。名前はまだ無い。" * 5 + "</p>", "吾輩は猫である。名前はまだ無い。" * 5),
+    ],
+)
+def test_names_of_wrappers_and_other_languages(html, text):
+    line = "This is the text of the page and it is long enough for the rules to be sure of it."
+    assert html_text.main_text(html.replace("{0}", line).replace("{}", line)) == text.replace("{0}", line).replace("{}", line)
