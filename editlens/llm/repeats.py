@@ -1,15 +1,14 @@
-"""Removal of long repeated byte strings: intervals of suffixes are refined over all shards to ever longer prefixes.
+"""Removal of long repeated byte strings: windows of equal bytes are found by hashes of stretches around their anchors.
 
-A shard is a range of documents that one task reads. Sorting its suffixes gives intervals of equal prefixes; merging the
-shards' orders means finding, for a prefix length, which intervals of different shards are the same. As in a merge of
-Burrows-Wheeler transforms, this is done in rounds: a round starts from the intervals of the last one, looks at the next
-stretch of text, and never sorts suffixes again; an interval with one suffix has found its longest common prefix and
-leaves. Three things make the rounds few and wide:
+This takes the place of a merge of the shards' Burrows-Wheeler transforms, which was not built and so not measured: no
+suffix order, no transform, no interleave and no common prefixes are made. The reason was an estimate of the merge's
+CPU time (README). What is done instead: windows are grouped by hashes at three growing lengths, and a window that is
+alone in its group leaves. The results are those of comparing all windows, up to collisions of hashes.
 
-- Suffixes are followed in runs. Each 400-byte window has an anchor, its smallest 64-byte gram (the last of equal ones);
+- Windows are followed in runs. Each 400-byte window has an anchor, its smallest 64-byte gram (the last of equal ones);
   equal windows have equal anchors in equal places, so neighbouring windows of one anchor stay together.
-- Depths are 273 bytes (what 128 neighbouring windows of an anchor share), 385 bytes (16 windows) and 400 bytes.
-- Shards send the sizes of their intervals, which are added up before and after the shuffle, never lists of suffixes.
+- The lengths are 273 bytes (what 128 neighbouring windows of an anchor share), 385 bytes (16 windows) and 400 bytes.
+- Tasks send the sizes of their groups, which are added up before and after the shuffle, never lists of windows.
 """
 
 from __future__ import annotations
