@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editlens.llm import decontaminate, html_text, language, line_dedup, order_minhash, packing, repeats, shards, simhash, token_file
+from editlens.llm import bpe, decontaminate, html_text, language, line_dedup, order_minhash, packing, repeats, shards, simhash, token_file
 from editlens.llm.common import table
 from editlens.session import scratch
 
@@ -58,5 +58,10 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_order_minhash, op3_shards, op4_html_text, op5_simhash, op6_repeats, op7_decontaminate, op8_line_dedup, op9_language, op10_packing)}
+def op11_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf, "documents"))
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_order_minhash, op3_shards, op4_html_text, op5_simhash, op6_repeats, op7_decontaminate, op8_line_dedup, op9_language, op10_packing, op11_bpe)}
 SQL: dict[str, str] = {}
