@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editlens.llm import bpe, decontaminate, html_text, language, line_dedup, merkle, order_minhash, packing, repeats, shards, simhash, token_file
+from editlens.llm import alignment, bpe, decontaminate, html_text, language, line_dedup, merkle, order_minhash, packing, repeats, shards, simhash, token_file
 from editlens.llm.common import table
 from editlens.session import scratch
 
@@ -63,6 +63,10 @@ def op11_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"))
 
 
+def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.align(table(spark, sf, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf: str) -> DataFrame:
     """Of rows whose id has a checksum divisible by five, the text is tampered with."""
     tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 5 == 0
@@ -72,5 +76,5 @@ def op13_merkle(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_order_minhash, op3_shards, op4_html_text, op5_simhash, op6_repeats, op7_decontaminate, op8_line_dedup, op9_language, op10_packing, op11_bpe, op13_merkle)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_order_minhash, op3_shards, op4_html_text, op5_simhash, op6_repeats, op7_decontaminate, op8_line_dedup, op9_language, op10_packing, op11_bpe, op12_alignment, op13_merkle)}
 SQL: dict[str, str] = {}
