@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from editlens.llm.tokens import CUT, ODD, SEGMENT
 
 #: Distinct words and distinct stretches between spaces that a worker remembers at a time.
-KNOWN = 400_000
+KNOWN = 600_000
 BUCKETS = 1 << 16
 #: Ranks are kept above an index of this many bits, so that the least of an array is the leftmost of the lowest rank.
 INDEX_BITS = 20
@@ -94,6 +94,10 @@ def encode_words(words: Column, path: str | None = None) -> Column:
             pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(word, i, F.lit(2))))
 
             def step(state: Column, _: Column) -> Column:
+                # Each value is bound by a fold over one element, which, unlike a transform, does not copy the state.
+                def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+                    return F.aggregate(F.array(value), state, lambda _, found: body(found))
+
                 parts, ranks = state["parts"], state["ranks"]
 
                 def merge(i: Column) -> Column:
@@ -101,16 +105,16 @@ def encode_words(words: Column, path: str | None = None) -> Column:
                         before = F.when(i > 1, F.array(rank(F.concat(F.get(parts, i - 2), joined)))).otherwise(none)
                         after = F.when(i + 1 < F.size(parts), F.array(rank(F.concat(joined, F.get(parts, i + 1))))).otherwise(none)
                         return F.struct(
-                            F.concat(F.slice(parts, F.lit(1), i - 1), F.array(joined), F.slice(parts, i + 2, n)).alias("parts"),
-                            F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(ranks, i + 2, n)).alias("ranks"),
+                            F.flatten(F.array(F.slice(parts, F.lit(1), i - 1), F.array(joined), F.slice(parts, i + 2, n))).alias("parts"),
+                            F.flatten(F.array(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(ranks, i + 2, n))).alias("ranks"),
                         )
 
-                    return _let(F.concat(F.get(parts, i - 1), F.get(parts, i)), put)
+                    return bound(F.concat(F.get(parts, i - 1), F.get(parts, i)), put)
 
                 def lowest(found: Column) -> Column:
-                    return F.when(found < NO_RANK, _let(found.bitwiseAND(F.lit((1 << INDEX_BITS) - 1)).cast("int"), merge)).otherwise(state)
+                    return F.when(found < NO_RANK, bound(found.bitwiseAND(F.lit((1 << INDEX_BITS) - 1)).cast("int"), merge)).otherwise(state)
 
-                return _let(F.array_min(F.transform(ranks, lambda r, i: r.bitwiseOR(i + 1))), lowest)
+                return bound(F.array_min(F.transform(ranks, lambda r, i: r.bitwiseOR(i + 1))), lowest)
 
             start = F.struct(F.split(word, "").alias("parts"), pairs.alias("ranks"))
             folded = F.aggregate(F.sequence(F.lit(2), n), start, step, lambda s: F.transform(s["parts"], lambda p: piece_id(rank(p))))
