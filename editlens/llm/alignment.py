@@ -37,7 +37,7 @@ SPILL_DOCUMENTS = 1 << 14
 PARTS = 64
 FAN_IN = 64
 #: Different stretches of text a worker remembers.
-CACHE = 200_000
+CACHE = 450_000
 BLOCK = 1 << 16
 #: A space between two signs that are no white space, and any other space.
 SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -109,9 +109,16 @@ class Aligner:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(number) else piece.replace(space, " ").encode())
         self.cache: dict[str, tuple | None] = {}
 
+    def _a_ids(self, piece: str) -> list[int]:
+        """Ids of a space and the piece. Letters are one word, so the model gets them without the steps before it."""
+        if not piece.isalpha():
+            return self.a.tokenizer.encode(" " + piece, add_special_tokens=False).ids
+        word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.a.letters)
+        return [t.id for t in self.a.model.tokenize(self.a.letters[32] + word)]
+
     def stretch(self, piece: str) -> tuple | None:
         """``n_a, n_b, n_groups, n_links, groups, links`` of a stretch, which a space precedes; None if bytes differ."""
-        a = self.a.tokenizer.encode(" " + piece, add_special_tokens=False).ids
+        a = self._a_ids(piece)
         b = self.b.encode(piece)
         a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         if not b"".join(a_bytes) == b"".join(b_bytes) == (" " + piece).encode():
