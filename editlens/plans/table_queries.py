@@ -8,7 +8,7 @@ from editlens import fixtures, plugins, schemas
 from editlens.functions.instructions import plan_instructions
 from editlens.functions.text import redact, text_sha
 from editlens.operators import cases as case_ops
-from editlens.operators import provenance, quality, requests, score
+from editlens.operators import manifest_fields, provenance, quality, requests, score, stages
 from editlens.plans.evaluation_queries import read, rounded, timed
 from editlens.session import scratch
 from editlens.sources import manifests, payloads, runlog
@@ -284,6 +284,17 @@ def j09_asset_dependencies(spark, sf):
     return provenance.asset_dependencies(assets).select("asset_id", "stage")
 
 
+def j09_asset_stages(spark, sf):
+    """Chains as long as the ones at the end of a number in binary; references to nothing, a planted cycle and a way into it."""
+    reference = """case when doc_id in (4, 8) then doc_id + 4 when doc_id in (12, 20) then 4 when doc_id % 7 = 0 then -doc_id - 1
+        when doc_id % 2 = 1 then doc_id div 2 end"""
+    assets = fixtures.documents(spark, sf).selectExpr(
+        "concat('d', doc_id) as asset_id", f"concat('d', {reference}) as reference_asset_id",
+        "if(doc_id % 2 = 1, get(array('qwen3_tts', 'indextts2', 'voxcpm2', 'mimo_audio'), cast(doc_id % 5 as int)), null) as provider",
+    )
+    return stages.asset_stages(assets)
+
+
 def _requests(spark, sf):
     return requests.plan_requests(fixtures.cases(spark, sf))
 
@@ -455,6 +466,23 @@ def c02_duplicate_keys(spark, sf):
     return quality.check_duplicate_keys(_raw_cases(spark, sf))
 
 
+def _raw_manifests(spark, sf):
+    """A manifest per document as text, with unknown, missing and repeated keys at each level."""
+    segment = """concat('{"word":"', w, '","start":', i, if(uid % 97 = 0 and i = 0, ',"start":7', ''), if(uid % 109 = 0 and i = n - 1, '', concat(',"end":', i + 1)), '}')"""
+    case = f"""concat('{{"id":"', case_id, '","language":"', language, '","source_audio":{{"asset_id":"a","path":"p","sha256":"s"', if(uid % 89 = 0, ',"size":1', ''),
+        '}},"instruction_xml":"x","annotations":{{"source_alignment":{{"audio_sha256":"s"', if(uid % 103 = 0, '', ',"text_sha256":"t"'), ',"segments":[',
+        array_join(transform(tok, (w, i) -> {segment}), ','), ']}}', if(uid % 101 = 0, ',"note":{{"a b":1,"a b":2}}', ''), '}}', if(uid % 107 = 0, ',"\\\\u0069d":"again"', ''), '}}')"""
+    cases = fixtures.cases(spark, sf).select("doc_id", "utt", F.expr(case).alias("case"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("utt", "case"))), lambda c: c["case"]), ",")
+    head = """concat('{"category":"text","shard":"easy"', if(doc_id % 13 = 0, ',"shard":"hard"', ''), if(doc_id % 17 = 0, ',"extra":[]', ''), ',"audio_assets":{},"cases":[')"""
+    return cases.groupBy("doc_id").agg(listed.alias("cases")).select(F.col("doc_id").alias("key"), F.concat(F.expr(head), "cases", F.lit("]}")).alias("json"))
+
+
+def c02_every_level(spark, sf):
+    """Both checks of raw manifests: field sets (C01) and repeated keys (C02), with the path of each violation."""
+    return manifest_fields.check_manifests(_raw_manifests(spark, sf))
+
+
 def c03_unique(spark, sf):
     return quality.check_unique(fixtures.assets(spark, sf), "asset_id")
 

@@ -14,6 +14,7 @@ cte(
     """SELECT d.doc_id, sha256(text) AS audio_sha256, lang, source, n_chars, quality, CASE WHEN quality = 1 THEN 'allow' ELSE 'hold' END AS decision
     FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
 )
+cte("cc", "SELECT *, '$.cases[' || utt || ']' AS place FROM cs", "cs")
 cte("inventory", "SELECT DISTINCT asset_id, asset_id AS sha256, size_bytes FROM assets", "assets")
 cte(
     "log",
@@ -298,6 +299,20 @@ SQL = {
         "ledger",
     ),
     "j09_asset_dependencies": """SELECT 'd' || doc_id AS asset_id, CASE WHEN doc_id % 3 <> 2 THEN 'independent' WHEN doc_id * 3 // 2 IN (SELECT doc_id FROM documents) THEN 'generate_after' ELSE 'dangling' END AS stage FROM documents""",
+    "j09_asset_stages": """WITH RECURSIVE a AS (
+        SELECT id, CASE WHEN r IS NULL THEN NULL ELSE 'd' || r END AS ref, provider, coalesce(list_position(['qwen3_tts', 'indextts2', 'voxcpm2', 'mimo_audio'], provider), 0) AS turn
+        FROM (SELECT 'd' || doc_id AS id, CASE WHEN doc_id IN (4, 8) THEN doc_id + 4 WHEN doc_id IN (12, 20) THEN 4 WHEN doc_id % 7 = 0 THEN -doc_id - 1 WHEN doc_id % 2 = 1 THEN doc_id // 2 END AS r,
+          CASE WHEN doc_id % 2 = 1 THEN (['qwen3_tts', 'indextts2', 'voxcpm2', 'mimo_audio'])[doc_id % 5 + 1] END AS provider FROM documents)),
+      down AS (SELECT id, 0 AS depth, 'root' AS e FROM a WHERE ref IS NULL
+        UNION ALL SELECT id, 1, 'dangling' FROM a WHERE ref IS NOT NULL AND ref NOT IN (SELECT id FROM a)
+        UNION ALL SELECT a.id, depth + 1, e FROM down JOIN a ON a.ref = down.id),
+      walk AS (SELECT id AS start, ref AS cur, 1 AS n FROM a WHERE id NOT IN (SELECT id FROM down)
+        UNION ALL SELECT start, a.ref, n + 1 FROM walk JOIN a ON a.id = walk.cur WHERE n < 40)
+      SELECT a.id AS asset_id, a.ref AS reference_asset_id, a.provider, a.turn, CASE WHEN e = 'root' THEN depth END AS stage,
+        CASE WHEN e = 'dangling' AND depth > 1 THEN 'behind_dangling' WHEN e = 'dangling' THEN e
+          WHEN e IS NULL THEN CASE WHEN a.id IN (SELECT start FROM walk WHERE cur = start) THEN 'cycle' ELSE 'behind_cycle' END
+          WHEN b.turn > a.turn THEN 'late_reference' WHEN depth = 0 THEN 'independent' ELSE 'generate_after' END AS status
+      FROM a LEFT JOIN down ON down.id = a.id LEFT JOIN a b ON b.id = a.ref""",
     "j10_cache_split": with_(
         """SELECT key, CASE WHEN hit AND status <> 'pending' THEN status ELSE 'pending' END AS status FROM (
           SELECT key, substr(key, 2, 1) <= '7' AS hit, (['ok', 'unsupported', 'pending', 'error'])[CAST('0x' || substr(key, 1, 1) AS INT) % 4 + 1] AS status FROM (SELECT DISTINCT key FROM refs))""",
@@ -372,6 +387,19 @@ SQL = {
         V("C01", "uid % 17 = 0 OR uid % 13 = 0", "case fields", "cs") + " UNION ALL " + V("C01", "uid % 19 = 0", "audio fields", "cs"), "cs"
     ),
     "c02_duplicate_keys": with_(V("C02", "uid % 23 = 0 OR uid % 29 = 0", "duplicate key", "cs"), "cs"),
+    "c02_every_level": with_(
+        """SELECT c AS "check", CAST(doc_id AS VARCHAR) AS key, p AS path, d AS detail FROM (
+          SELECT 'C02' AS c, doc_id, place || '.annotations.source_alignment.segments[0].start' AS p, 'duplicate key' AS d FROM cc WHERE uid % 97 = 0
+          UNION ALL SELECT 'C01', doc_id, place || '.annotations.source_alignment.segments[' || (n - 1) || '].end', 'missing field' FROM cc WHERE uid % 109 = 0
+          UNION ALL SELECT 'C01', doc_id, place || '.source_audio.size', 'unknown field' FROM cc WHERE uid % 89 = 0
+          UNION ALL SELECT 'C01', doc_id, place || '.annotations.source_alignment.text_sha256', 'missing field' FROM cc WHERE uid % 103 = 0
+          UNION ALL SELECT 'C01', doc_id, place || '.annotations.note', 'unknown field' FROM cc WHERE uid % 101 = 0
+          UNION ALL SELECT 'C02', doc_id, place || '.annotations.note["a b"]', 'duplicate key' FROM cc WHERE uid % 101 = 0
+          UNION ALL SELECT 'C02', doc_id, place || '.id', 'duplicate key' FROM cc WHERE uid % 107 = 0
+          UNION ALL SELECT DISTINCT 'C02', doc_id, '$.shard', 'duplicate key' FROM cc WHERE doc_id % 13 = 0
+          UNION ALL SELECT DISTINCT 'C01', doc_id, '$.extra', 'unknown field' FROM cc WHERE doc_id % 17 = 0)""",
+        "cc",
+    ),
     "c03_unique": with_("SELECT 'C03' AS \"check\", asset_id AS key, count(*) || ' rows' AS detail FROM assets GROUP BY asset_id HAVING count(*) > 1", "assets"),
     "c04_patterns": with_(
         " UNION ALL ".join(
