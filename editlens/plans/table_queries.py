@@ -589,6 +589,12 @@ def r01_stream_runlog(spark, sf):
     return spark.read.parquet(table).select("event_id", "key", "status")
 
 
+def r01_duplicate_ids(spark, sf):
+    table, wrong = scratch(spark), scratch(spark)
+    logs.stream_runlog(_event_log(spark, sf), "event_id", table, scratch(spark), wrong)
+    return spark.read.parquet(wrong).select("check", "key", "detail")
+
+
 def r02_stream_progress(spark, sf):
     table = scratch(spark)
     logs.stream_progress(_event_log(spark, sf), table, scratch(spark))
