@@ -140,14 +140,16 @@ def tree_digest(df: DataFrame, key: str, leaf: Column) -> DataFrame:
     """Order-free digest of a table of any size: leaves by hash prefix, then sixteen to one.
 
     The depth is part of the definition and the same for every table: DIGEST_DEPTH hexadecimal digits, so a leaf holds
-    one row in 65,536 and no group sees more than that or sixteen digests.
+    one row in 65,536 and no group sees more than that or sixteen digests. An empty table has no assets and the digest of
+    nothing.
     """
     level = df.select(F.sha2(F.col(key).cast("binary"), 256).alias("h"), F.sha2(leaf.cast("binary"), 256).alias("d"), F.lit(1).cast("long").alias("n"))
-    for width in range(DIGEST_DEPTH, -1, -1):
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "d"))), lambda x: x["d"]), "")
-        level = level.groupBy(F.substring("h", 1, width).alias("p")).agg(F.sha2(joined.cast("binary"), 256).alias("d"), F.sum("n").alias("n"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "d"))), lambda x: x["d"]), "")
+    digest = F.sha2(joined.cast("binary"), 256)
+    for width in range(DIGEST_DEPTH, 0, -1):
+        level = level.groupBy(F.substring("h", 1, width).alias("p")).agg(digest.alias("d"), F.sum("n").alias("n"))
         level = level.withColumnRenamed("p", "h")
-    return level.select(F.col("n").alias("assets"), F.col("d").alias("digest"))
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("assets"), digest.alias("digest"))
 
 
 def list_digest(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from editlens import fixtures, plugins, schemas
 from editlens.functions.instructions import plan_instructions
 from editlens.functions.text import redact, text_sha
 from editlens.operators import cases as case_ops
-from editlens.operators import manifest_fields, provenance, quality, requests, score, stages
+from editlens.operators import manifest_fields, provenance, quality, requests, runs, score, stages
 from editlens.plans.evaluation_queries import read, rounded, timed
 from editlens.session import scratch
 from editlens.sources import manifests, payloads, runlog
@@ -126,7 +126,7 @@ def s11_receipt(spark, sf):
     assets = provenance.top_definition(fixtures.assets(spark, sf))
     rows = assets.selectExpr("asset_id", "kind", "if(kind = 'generate', 'voxcpm2', null) as provider", "asset_id as reference_sha256", "asset_id as sha256", "size_bytes")
     runlog.write_receipt(rows, provenance.inventory_digest(rows), path)
-    header = spark.read.parquet(f"{path}/header")
+    header, _ = runlog.read_receipt(spark, path)
     return header.select("assets", "digest", F.explode("by_kind").alias("kind", "n"))
 
 
@@ -243,16 +243,27 @@ def p30_redact(spark, sf):
 # -- joins
 
 
-def j01_join_runs(spark, sf):
-    """Cases with their generation record and payload sizes; failed ones have no output."""
-    cases = fixtures.cases(spark, sf).selectExpr("case_id", "sha2(cast(source_text as binary), 256) as source_sha256")
+def _run(spark, sf):
+    """Cases with source digests, generation records, and payloads (with copies)."""
+    cases = fixtures.cases(spark, sf).selectExpr("case_id", "uid", "sha2(cast(source_text as binary), 256) as source_sha256")
     generation = runlog.read_generation(spark, _generation_log(spark, sf)).withColumnRenamed("id", "case_id")
-    sizes = fixtures.cases(spark, sf).selectExpr("explode(array(source_text, target_text)) as text").selectExpr("sha2(cast(text as binary), 256) as sha256", "octet_length(text) as size_bytes").dropDuplicates(["sha256"])
-    joined = cases.join(generation, "case_id")
-    with_source = joined.join(sizes.withColumnsRenamed({"sha256": "source_sha256", "size_bytes": "source_bytes"}), "source_sha256")
-    output = sizes.withColumnsRenamed({"sha256": "audio_sha256", "size_bytes": "output_bytes"})
-    rows = with_source.join(output, "audio_sha256")
-    return rows.select("case_id", "status", "source_bytes", "output_bytes")
+    texts = fixtures.cases(spark, sf).selectExpr("explode(array(source_text, target_text)) as text")
+    return cases, generation, texts.selectExpr("sha2(cast(text as binary), 256) as sha256", "octet_length(text) as size_bytes")
+
+
+def j01_join_runs(spark, sf):
+    """Cases with their generation record and payload sizes."""
+    return runs.join_runs(*_run(spark, sf))
+
+
+def j01_run_violations(spark, sf):
+    """Records taken away, doubled and of unknown cases; payloads of some digests are gone."""
+    cases, generation, payload = _run(spark, sf)
+    number = cases.select("case_id", "uid")
+    planted = generation.join(number, "case_id").filter("uid % 31 <> 0")
+    copies = "if(uid % 37 = 0, array(case_id, case_id), if(uid % 41 = 0, array(case_id, concat('x', case_id)), array(case_id)))"
+    records = planted.selectExpr(f"explode({copies}) as case_id", "status", "audio_sha256")
+    return runs.run_violations(cases, records, payload.filter("sha256 not like '0%'"))
 
 
 def j02_attach_groups(spark, sf):
@@ -538,6 +549,15 @@ def c11_status(spark, sf):
     return quality.check_status(rows, KNOWN_STATUSES)
 
 
+def c11_evaluation_gate(spark, sf):
+    """All that keeps evaluation rows from being pooled, in one table."""
+    rows = fixtures.cases(spark, sf).select(
+        F.expr("if(uid % 53 = 0, array(case_id, case_id), array(case_id))").alias("case_ids"), F.expr("if(uid % 47 = 0, 'running', status)").alias("status"),
+        F.expr("case when uid % 41 = 0 then '2' when uid % 43 = 0 then null else '1' end").alias("protocol_version"),
+    )
+    return runs.evaluation_violations(rows.withColumn("case_id", F.explode("case_ids")).drop("case_ids"), "1")
+
+
 def c12_conflicts(spark, sf):
     return quality.check_conflicts(fixtures.assets(spark, sf), "asset_id", "kind", "language", "size_bytes")
 

@@ -285,6 +285,15 @@ SQL = {
     "p28_transcript_origin": with_("SELECT doc_id, o.dataset, kind, split, source_id, license, redistribution FROM origins o JOIN terms t ON t.dataset = o.dataset", "origins", "terms"),
     "p30_redact": "SELECT conv_id, turn, replace(text, 'on', '[REDACTED]') AS text FROM conversations",
     "j01_join_runs": with_("SELECT case_id, status, strlen(source_text) AS source_bytes, strlen(target_text) AS output_bytes FROM cs", "cs"),
+    "j01_run_violations": with_(
+        """SELECT 'J01' AS "check", CASE WHEN d = 'unknown case' THEN 'x' || case_id ELSE case_id END AS key, d AS detail FROM (
+          SELECT case_id, 'no generation record' AS d FROM cs WHERE uid % 31 = 0
+          UNION ALL SELECT case_id, '2 generation records' FROM cs WHERE uid % 31 <> 0 AND uid % 37 = 0
+          UNION ALL SELECT case_id, 'unknown case' FROM cs WHERE uid % 31 <> 0 AND uid % 37 <> 0 AND uid % 41 = 0
+          UNION ALL SELECT case_id, 'no source payload' FROM cs WHERE sha256(source_text) LIKE '0%'
+          UNION ALL SELECT case_id, 'no output payload' FROM cs WHERE uid % 31 <> 0 AND status = 'ok' AND sha256(target_text) LIKE '0%')""",
+        "cs",
+    ),
     "j02_attach_groups": with_("SELECT cs.case_id, round(similarity, 6) AS similarity, category, shard FROM cs JOIN cats ON cats.case_id = cs.case_id", "cs", "cats"),
     "j08_join_ledger": with_(
         """SELECT decision, count(*) AS n, min(case_id) AS first_case FROM assets a JOIN (SELECT audio_sha256, max(decision) AS decision FROM ledger WHERE quality IS NOT NULL GROUP BY 1) l
@@ -431,6 +440,12 @@ SQL = {
     "c09_outcomes": with_(V("C09", "uid % 31 = 0", "no operation", "cs") + " UNION ALL " + V("C09", "uid % 37 = 0 AND uid % 31 <> 0", "missing outcome", "cs"), "cs"),
     "c10_version": with_(V("C10", "uid % 41 = 0 OR uid % 43 = 0", "protocol version", "cs"), "cs"),
     "c11_status": with_(V("C11", "uid % 47 = 0", "status", "cs"), "cs"),
+    "c11_evaluation_gate": with_(
+        """SELECT 'C03' AS "check", case_id AS key, '2 rows' AS detail FROM cs WHERE uid % 53 = 0
+        UNION ALL SELECT 'C11', case_id, 'status' FROM (SELECT case_id, uid, unnest(range(0, CASE WHEN uid % 53 = 0 THEN 2 ELSE 1 END)) FROM cs) WHERE uid % 47 = 0
+        UNION ALL SELECT 'C10', case_id, 'protocol version' FROM (SELECT case_id, uid, unnest(range(0, CASE WHEN uid % 53 = 0 THEN 2 ELSE 1 END)) FROM cs) WHERE uid % 41 = 0 OR uid % 43 = 0""",
+        "cs",
+    ),
     "c12_conflicts": with_(
         "SELECT 'C12' AS \"check\", asset_id AS key, 'conflicting definitions' AS detail FROM (SELECT DISTINCT asset_id, kind, language, size_bytes FROM assets) GROUP BY asset_id HAVING count(*) > 1", "assets"
     ),
