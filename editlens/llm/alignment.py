@@ -107,7 +107,7 @@ class Aligner:
             if space in piece.lstrip(space):
                 raise ValueError(f"a piece crosses a space: {piece}")
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(number) else piece.replace(space, " ").encode())
-        self.cache: dict[str, tuple | None] = {}
+        self.cache: dict[str, tuple | bool] = {}
 
     def _a_ids(self, piece: str) -> list[int]:
         """Ids of a space and the piece. Letters are one word, so the model gets them without the steps before it."""
@@ -116,29 +116,25 @@ class Aligner:
         word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.a.letters)
         return [t.id for t in self.a.model.tokenize(self.a.letters[32] + word)]
 
-    def stretch(self, piece: str) -> tuple | None:
-        """``n_a, n_b, n_groups, n_links, groups, links`` of a stretch, which a space precedes; None if bytes differ."""
+    def stretch(self, piece: str, b: list[int]) -> tuple | bool:
+        """``n_a, n_b, n_groups, n_links, groups, links`` of a stretch, which a space precedes; False if bytes differ."""
         a = self._a_ids(piece)
-        b = self.b.encode(piece)
         a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         if not b"".join(a_bytes) == b"".join(b_bytes) == (" " + piece).encode():
-            return None
-        a_ends, b_ends = list(itertools.accumulate(map(len, a_bytes))), list(itertools.accumulate(map(len, b_bytes)))
-        groups: list[str] = []
-        links: list[int] = []
-        i = j = at_a = at_b = 0
-        while i < len(a):
-            while a_ends[i] != b_ends[j]:
-                if a_ends[i] < b_ends[j]:
-                    i += 1
-                else:
-                    j += 1
-            i, j = i + 1, j + 1
-            left, right = a[at_a:i], b[at_b:j]
-            groups.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-            links += [x << 16 | y for x in left for y in right]
-            at_a, at_b = i, j
-        return len(a), len(b), len(groups), len(links), ";".join(groups), np.array(links, dtype=np.uint32).tobytes()
+            return False
+        if len(a) == 1 or len(b) == 1:
+            found = [(a, b)]
+        else:
+            a_ends, b_ends = list(itertools.accumulate(map(len, a_bytes))), list(itertools.accumulate(map(len, b_bytes)))
+            found, at_a, at_b, place = [], 0, 0, {end: j for j, end in enumerate(b_ends, 1)}
+            for i, end in enumerate(a_ends, 1):
+                j = place.get(end)
+                if j:
+                    found.append((a[at_a:i], b[at_b:j]))
+                    at_a, at_b = i, j
+        links = array.array("I", [x << 16 | y for left, right in found for x in left for y in right])
+        groups = ";".join([f"{','.join(map(str, left))}|{','.join(map(str, right))}" for left, right in found])
+        return len(a), len(b), len(found), len(links), groups, links.tobytes()
 
     def document(self, text: str | None) -> tuple | None:
         """Sums over all stretches, digest of the groups, and the distinct links with their numbers of occurrences."""
@@ -146,16 +142,15 @@ class Aligner:
             return None
         if len(self.cache) > CACHE:
             self.cache.clear()
-        get, found = self.cache.get, []
-        for piece in SPACE.split(text) if ODD.search(text) else text.split(" "):
-            value = get(piece, False)
-            if value is False:
-                value = self.stretch(piece)
-                if len(piece) < 64:
-                    self.cache[piece] = value
-            if value is None:
-                return None
-            found.append(value)
+        pieces = SPACE.split(text) if ODD.search(text) else text.split(" ")
+        found = list(map(self.cache.get, pieces))
+        if None in found:
+            new = list(dict.fromkeys(p for p, v in zip(pieces, found, strict=True) if v is None))
+            made = dict(zip(new, map(self.stretch, new, self.b.encode(new, num_threads=1)), strict=True))
+            self.cache.update((p, v) for p, v in made.items() if len(p) < 64)
+            found = [made[p] if v is None else v for p, v in zip(pieces, found, strict=True)]
+        if False in found:
+            return None
         n_a, n_b, n_groups, n_links, groups, links = zip(*found, strict=True)
         pairs, times = np.unique(np.frombuffer(b"".join(links), dtype=np.uint32), return_counts=True)
         return sum(n_a), sum(n_b), sum(n_groups), sum(n_links), hashlib.sha256(";".join(groups).encode()).hexdigest(), pairs, times
