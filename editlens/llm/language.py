@@ -69,7 +69,7 @@ class Judge:
 
     def of(self, text: str | None) -> tuple[str, float, bool]:
         """Language, margin to the second one (0 to 1) and whether the text is rejected."""
-        if not text or not self.by or not NO_LETTER.sub("", text):
+        if not text or not self.by or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
         order = self.sizes(text, PIECE)
         if len(order) == 1:
@@ -86,7 +86,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text")
 
     The text is looked at in lower case without anything but letters, in pieces. ``score`` is the share by which the
     smallest size undercuts the second. A text is rejected if its margin is below MARGIN in both piece sizes. Null
-    texts and texts without a letter are UNKNOWN with score 0 and rejected. Equal sizes go to the first language in
+    texts and texts without a letter (numeral signs such as ½ are none) are UNKNOWN with score 0 and rejected. Equal sizes go to the first language in
     alphabetical order. With no dictionary everything is UNKNOWN; an empty table stays empty.
     """
 

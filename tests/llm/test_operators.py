@@ -391,6 +391,8 @@ def test_language(spark, empty):
     got = {(r.text or "")[:5]: (r.lang_pred, r.rejected) for r in language.predict(odd, learnt).collect()}
     assert got == {"": ("und", True), "12 !?": ("und", True), by["xx"][:5]: ("xx", False)}
     assert language.learn(docs.limit(0)) == {} and language.predict(empty, learnt).count() == 0
+    signs = spark.createDataFrame([(1, "½ ² ⑦"), (2, "12 ½ !")], "doc_id long, text string")
+    assert {(r.lang_pred, r.score, r.rejected) for r in language.predict(signs, learnt).collect()} == {("und", 0.0, True)}
     assert {r.lang_pred for r in language.predict(odd, {}).collect()} == {"und"}
 
 
