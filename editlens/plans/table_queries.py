@@ -587,7 +587,7 @@ def c16_wav_profile(spark, sf):
     little = lambda value: f"unhex(concat_ws('', transform(array(3, 2, 1, 0), i -> substring(lpad(hex({value}), 8, '0'), i * 2 + 1, 2))))"
     content = f"""concat(cast(if(doc_id % 41 = 0, 'RIFX', 'RIFF') as binary), {little('octet_length(text) + 36')}, cast('WAVEfmt ' as binary), {little('16')}, X'01000100', {little('16000')},
         {little('32000')}, X'02001000', cast('data' as binary), {little('octet_length(text)')}, cast(text as binary))"""
-    rows = fixtures.documents(spark, sf).filter("octet_length(text) > 0").select(F.expr("concat('d', doc_id)").alias("path"), F.expr(content).alias("content"))
+    rows = fixtures.documents(spark, sf).select(F.expr("concat('d', doc_id)").alias("path"), F.expr(content).alias("content"))
     return quality.wav_profile(rows)
 
 

@@ -459,8 +459,8 @@ SQL = {
         WHERE n IS DISTINCT FROM want""",
         "assets",
     ),
-    "c16_wav_profile": """SELECT 'd' || doc_id AS path, 1 AS channels, 16000 AS sample_rate, strlen(text) AS data_bytes, doc_id % 41 <> 0 AS valid,
-          CASE WHEN doc_id % 41 <> 0 THEN strlen(text) / 32000::DOUBLE END AS duration FROM documents WHERE strlen(text) > 0""",
+    "c16_wav_profile": """SELECT 'd' || doc_id AS path, 1 AS channels, 16000 AS sample_rate, strlen(text) AS data_bytes, doc_id % 41 <> 0 AND strlen(text) > 0 AS valid,
+          CASE WHEN doc_id % 41 <> 0 AND strlen(text) > 0 THEN strlen(text) / 32000::DOUBLE END AS duration FROM documents""",
     "r01_stream_runlog": with_("SELECT event_id, key, status FROM log", "log"),
     "r01_duplicate_ids": """SELECT 'R01' AS "check", CAST(event_id AS VARCHAR) AS key, 'duplicate 1' AS detail FROM events WHERE event_id % 7 = 0""",
     "r02_stream_progress": with_("SELECT status, count(*) AS n FROM (SELECT status FROM log UNION ALL SELECT status FROM log WHERE event_id % 7 = 0) GROUP BY status", "log"),
