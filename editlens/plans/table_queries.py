@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from editlens import fixtures, plugins, schemas
 from editlens.functions.instructions import plan_instructions
 from editlens.functions.text import redact, text_sha
 from editlens.operators import cases as case_ops
-from editlens.operators import manifest_fields, provenance, quality, requests, runs, score, stages
+from editlens.operators import attempt_times, manifest_fields, provenance, quality, requests, runs, score, stages
 from editlens.plans.evaluation_queries import read, rounded, timed
 from editlens.session import scratch
 from editlens.sources import manifests, payloads, runlog
-from editlens.streaming import logs
+from editlens.streaming import attempts, logs
 
 KNOWN_STATUSES = ("ok", "candidate_error")
 
@@ -635,6 +637,31 @@ def r03_stream_attempts(spark, sf):
     return logs.latest_states(spark, table)
 
 
+LIMIT, DELAY = timedelta(hours=6), timedelta(hours=2)
+
+
+def _daily(log):
+    """A request for each user and day, so that many attempts are under way when the log ends."""
+    return log.withColumn("key", F.expr("key * 100 + day(ts)"))
+
+
+def r03_timed_attempts(spark, sf):
+    log = _daily(fixtures.attempts(spark, sf))
+    return attempt_times.timed_status(log, LIMIT, attempt_times.watermark(log, DELAY))
+
+
+def r03_attempt_spans(spark, sf):
+    log = _daily(fixtures.attempts(spark, sf))
+    spans = attempt_times.attempt_spans(log, LIMIT, attempt_times.watermark(log, DELAY))
+    return spans.select("key", "number", F.unix_micros("began").alias("began"), F.unix_micros("ended").alias("ended"), "status")
+
+
+def r03_stream_timed_attempts(spark, sf):
+    table = scratch(spark)
+    attempts.stream_timed_attempts(_daily(_ordered_stream(spark, sf)), table, scratch(spark), LIMIT, DELAY)
+    return attempts.latest_timed_states(spark, table)
+
+
 def r04_stream_fill_cache(spark, sf):
     cache = scratch(spark)
     schema = schemas.struct(key=schemas.LONG, answer=schemas.STRING)

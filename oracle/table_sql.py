@@ -34,6 +34,27 @@ cte(
       SELECT key, min(number) FILTER (status = 'ok') AS ok_at, count(*) AS n, max_by(status, number) AS last FROM numbered GROUP BY key)""",
     "numbered",
 )
+# A request for each user and day; the log is read up to two hours before its newest row, an attempt has six hours.
+cte("daily", "SELECT key * 100 + day(ts) AS key, event_id, ts, status FROM log", "log")
+cte(
+    "spans",
+    """SELECT key, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS number, ts AS began,
+      CASE WHEN status <> 'running' THEN ts WHEN n_ts <= ts + INTERVAL 6 HOUR THEN n_ts WHEN n_ts IS NOT NULL OR ts + INTERVAL 6 HOUR <= now THEN ts + INTERVAL 6 HOUR END AS ended,
+      CASE WHEN status <> 'running' THEN status WHEN n_ts <= ts + INTERVAL 6 HOUR AND n_status <> 'running' THEN n_status WHEN n_ts IS NOT NULL OR ts + INTERVAL 6 HOUR <= now THEN 'error' END AS status
+    FROM (SELECT *, lag(status) OVER w AS p_status, lag(ts) OVER w AS p_ts, lead(status) OVER w AS n_status, lead(ts) OVER w AS n_ts
+      FROM (SELECT *, (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 HOUR FROM daily) AS now FROM daily) WHERE ts <= now WINDOW w AS (PARTITION BY key ORDER BY ts, event_id))
+    WHERE NOT coalesce(status <> 'running' AND p_status = 'running' AND ts <= p_ts + INTERVAL 6 HOUR, false)
+    QUALIFY number <= 5""",
+    "daily",
+)
+cte(
+    "timed_final",
+    """SELECT d.key, CASE WHEN ok_at IS NOT NULL THEN 'ok' ELSE coalesce(last, 'pending') END AS status, coalesce(ok_at, n, 0) AS attempts
+    FROM (SELECT DISTINCT key FROM daily) d LEFT JOIN (SELECT key, min(number) FILTER (status = 'ok') AS ok_at, count(status) AS n, max(status) FILTER (number = 5) AS last
+      FROM spans GROUP BY key) s ON s.key = d.key""",
+    "daily",
+    "spans",
+)
 # One record per document, as columns.
 cte(
     "records",
@@ -465,6 +486,9 @@ SQL = {
     "r01_duplicate_ids": """SELECT 'R01' AS "check", CAST(event_id AS VARCHAR) AS key, 'duplicate 1' AS detail FROM events WHERE event_id % 7 = 0""",
     "r02_stream_progress": with_("SELECT status, count(*) AS n FROM (SELECT status FROM log UNION ALL SELECT status FROM log WHERE event_id % 7 = 0) GROUP BY status", "log"),
     "r03_stream_attempts": with_("SELECT key, status, attempts FROM final", "final"),
+    "r03_timed_attempts": with_("SELECT key, status, attempts FROM timed_final", "timed_final"),
+    "r03_stream_timed_attempts": with_("SELECT key, status, attempts FROM timed_final", "timed_final"),
+    "r03_attempt_spans": with_("SELECT key, number, epoch_us(began) AS began, epoch_us(ended) AS ended, status FROM spans", "spans"),
     "r04_stream_fill_cache": with_("SELECT DISTINCT key, 'answer ' || key AS answer FROM log", "log"),
     "u01_scorer": "SELECT doc_id, round(length(text) / 100, 6) AS score, 'length-1' AS identity FROM documents",
     "u03_planner": with_(
