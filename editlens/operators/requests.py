@@ -297,9 +297,15 @@ def request_counts(requests: DataFrame, references: DataFrame) -> DataFrame:
     return unique.unionByName(references.groupBy("mode").agg(F.count(F.lit(1)).alias("n")))
 
 
-def split_cached(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Requests with a terminal record, and those still pending."""
+def split_cached(requests: DataFrame, cache: DataFrame, identity: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Requests with a terminal record, and those still pending.
+
+    With ``identity``, only records of that model count (``cache`` then has a column ``identity``): an answer of another
+    version is none.
+    """
     terminal = cache.filter(F.col("status").isin("ok", "unsupported", "error"))
+    if identity is not None:
+        terminal = terminal.filter(F.col("identity") == identity).drop("identity")
     return requests.join(terminal, "key"), requests.join(terminal, "key", "left_anti")
 
 

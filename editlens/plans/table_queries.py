@@ -13,7 +13,7 @@ from editlens.operators import cases as case_ops
 from editlens.operators import attempt_times, manifest_fields, provenance, quality, requests, runs, score, stages
 from editlens.plans.evaluation_queries import read, rounded, timed
 from editlens.session import scratch
-from editlens.sources import manifests, payloads, runlog
+from editlens.sources import cache, manifests, payloads, runlog
 from editlens.streaming import attempts, logs
 
 KNOWN_STATUSES = ("ok", "candidate_error")
@@ -320,6 +320,20 @@ def j10_cache_split(spark, sf):
     return hits.select("key", "status").unionByName(pending.select("key", F.lit("pending").alias("status")))
 
 
+def j10_identity_split(spark, sf):
+    """Two versions of a model: the first answered half of the requests, the second a quarter."""
+    distinct, _ = _requests(spark, sf)
+    keys = distinct.select("key")
+    one = keys.filter("substring(key, 1, 1) <= '7'").selectExpr("key", "'ok' as status", "'planner@1' as identity")
+    two = keys.filter("substring(key, 2, 1) <= '3'").selectExpr("key", "if(substring(key, 3, 1) = '0', 'pending', 'error') as status", "'planner@2' as identity")
+    split = [requests.split_cached(keys, one.unionByName(two), i) for i in ("planner@1", "planner@2")]
+    parts = [
+        hits.select(F.lit(f"planner@{n}").alias("identity"), "key", "status").unionByName(rest.select(F.lit(f"planner@{n}").alias("identity"), "key", F.lit("pending").alias("status")))
+        for n, (hits, rest) in enumerate(split, 1)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def j14_plan_requests(spark, sf):
     return _requests(spark, sf)[1]
 
@@ -662,12 +676,28 @@ def r03_stream_timed_attempts(spark, sf):
     return attempts.latest_timed_states(spark, table)
 
 
+ANSWERS = schemas.struct(key=schemas.LONG, answer=schemas.STRING)
+
+
+def _fill(spark, sf, cache, identity=""):
+    answer = lambda df: df.selectExpr("key", f"concat('answer ', key, '{identity}') as answer")
+    logs.stream_fill_cache(_event_log(spark, sf).select("key"), "key", cache, ANSWERS, answer, scratch(spark), identity)
+
+
 def r04_stream_fill_cache(spark, sf):
-    cache = scratch(spark)
-    schema = schemas.struct(key=schemas.LONG, answer=schemas.STRING)
-    answer = lambda df: df.selectExpr("key", "concat('answer ', key) as answer")
-    logs.stream_fill_cache(_event_log(spark, sf).select("key"), "key", cache, schema, answer, scratch(spark))
-    return spark.read.parquet(cache)
+    path = scratch(spark)
+    _fill(spark, sf, path)
+    return cache.read_cache(spark, path, ANSWERS, "").select("key", "answer")
+
+
+def r04_two_versions(spark, sf):
+    """Two versions fill one cache, one of them twice; buckets are then put together."""
+    path = scratch(spark)
+    for identity in ("@1", "@2", "@1"):
+        _fill(spark, sf, path, identity)
+    cache.compact(spark, path, ANSWERS, "key", "@1", files=1)
+    both = [cache.read_cache(spark, path, ANSWERS, i).select(F.lit(i).alias("identity"), "key", "answer") for i in ("@1", "@2")]
+    return both[0].unionByName(both[1])
 
 
 # -- plug-ins

@@ -348,6 +348,11 @@ SQL = {
           SELECT key, substr(key, 2, 1) <= '7' AS hit, (['ok', 'unsupported', 'pending', 'error'])[CAST('0x' || substr(key, 1, 1) AS INT) % 4 + 1] AS status FROM (SELECT DISTINCT key FROM refs))""",
         "refs",
     ),
+    "j10_identity_split": with_(
+        """SELECT 'planner@1' AS identity, key, CASE WHEN substr(key, 1, 1) <= '7' THEN 'ok' ELSE 'pending' END AS status FROM (SELECT DISTINCT key FROM refs)
+        UNION ALL SELECT 'planner@2', key, CASE WHEN substr(key, 2, 1) <= '3' AND substr(key, 3, 1) <> '0' THEN 'error' ELSE 'pending' END FROM (SELECT DISTINCT key FROM refs)""",
+        "refs",
+    ),
     "j14_plan_requests": with_("SELECT case_id, mode, step, op_index, key FROM refs", "refs"),
     "j11_diff_contract": with_(
         """SELECT case_id, CASE WHEN uid % 41 = 0 THEN 'missing' WHEN uid % 37 = 0 AND language <> 'zh' THEN 'fixed field changed'
@@ -490,6 +495,7 @@ SQL = {
     "r03_stream_timed_attempts": with_("SELECT key, status, attempts FROM timed_final", "timed_final"),
     "r03_attempt_spans": with_("SELECT key, number, epoch_us(began) AS began, epoch_us(ended) AS ended, status FROM spans", "spans"),
     "r04_stream_fill_cache": with_("SELECT DISTINCT key, 'answer ' || key AS answer FROM log", "log"),
+    "r04_two_versions": with_("SELECT DISTINCT i.identity, key, 'answer ' || key || i.identity AS answer FROM log, (VALUES ('@1'), ('@2')) i(identity)", "log"),
     "u01_scorer": "SELECT doc_id, round(length(text) / 100, 6) AS score, 'length-1' AS identity FROM documents",
     "u03_planner": with_(
         "SELECT 'sequential' AS planner, step, count(*) AS n FROM steps_text GROUP BY step UNION ALL SELECT 'one_take', 0, count(*) FROM cs", "steps_text", "cs"
