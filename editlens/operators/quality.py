@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import struct
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from editlens.functions.text import text_sha
 
+EXTENSIBLE = 0xFFFE  # fixed value: the format tag whose real encoding follows in a longer header
+
 # Field sets, enumerations and patterns of the contract.
 CASE_FIELDS = ("annotations", "id", "instruction_xml", "language", "source_audio")
 AUDIO_FIELDS = ("asset_id", "path", "sha256")
@@ -193,24 +197,46 @@ def check_payloads(inventory: DataFrame, found: DataFrame) -> DataFrame:
     return both.select(F.lit("C15").alias("check"), F.col("path").alias("key"), detail.alias("detail")).filter("detail is not null")
 
 
+def _chunk_walk(contents: pd.Series) -> pd.DataFrame:
+    """Format and data chunk of each payload, found by following the chunk sizes."""
+    rows = []
+    for content in contents:
+        size = 0 if content is None else len(content)
+        form, data, at = None, None, 12
+        marked = size >= 12 and content[:4] == b"RIFF" and content[8:12] == b"WAVE"
+        sound = size >= 12
+        while sound and at < size:
+            length = int.from_bytes(content[at + 4 : at + 8], "little")
+            end = at + 8 + length
+            name = content[at : at + 4]
+            # The last chunk may lack its pad byte; nothing may lack more.
+            sound = at + 8 <= size and end <= size
+            if sound and name == b"fmt " and form is None and length >= 16:
+                form = struct.unpack_from("<HHIIHH", content, at + 8)
+                if form[0] == EXTENSIBLE:
+                    sound = length >= 40
+                    form = (int.from_bytes(content[at + 32 : at + 34], "little") if sound else 0, *form[1:])
+            elif sound and name == b"data" and data is None:
+                data = length
+            at = end + length % 2
+        known = form or (None,) * 6
+        rows.append((known[0], known[1], known[2], known[4], data, marked and sound and form is not None and data is not None))
+    return pd.DataFrame(rows, columns=["encoding", "channels", "sample_rate", "block", "data_bytes", "sound"]).astype(
+        {"encoding": "Int64", "channels": "Int64", "sample_rate": "Int64", "block": "Int64", "data_bytes": "Int64"}
+    )
+
+
 def wav_profile(payloads: DataFrame) -> DataFrame:
-    """Channels, rate, data size and length from a payload's header; nothing is decoded.
+    """Channels, rate, data size and length from a payload's chunks; nothing is decoded.
 
-    Reads the canonical 44-byte header; ``valid`` is false for anything else.
+    Chunks may stand in any order, with pad bytes and with chunks of other names between them; an extensible format gives
+    its sub-format as ``encoding``. ``valid`` is false for files of another kind, for a missing, empty or truncated format or data
+    chunk, for a chunk that reaches beyond the file, and for a null payload; what was found until then is given. The
+    first chunk of a name counts.
     """
-    number = lambda at, size: F.conv(  # noqa: E731 - little-endian
-        F.concat(*[F.hex(F.substring("content", at + size - 1 - i, 1)) for i in range(size)]), 16, 10
-    ).cast("bigint")
-    ascii_ = lambda at: F.substring("content", at, 4).cast("string")
-    head = payloads.select(
-        "path",
-        ((ascii_(1) == "RIFF") & (ascii_(9) == "WAVE") & (ascii_(37) == "data") & (F.length("content") > 44)).alias("riff"),
-        number(23, 2).alias("channels"),
-        number(25, 4).alias("sample_rate"),
-        number(33, 2).alias("block"),
-        number(41, 4).alias("data_bytes"),
-    )
-    valid = F.col("riff") & (F.col("channels") > 0) & (F.col("sample_rate") > 0) & (F.col("data_bytes") > 0)
+    walk = F.pandas_udf(_chunk_walk, "encoding long, channels long, sample_rate long, block long, data_bytes long, sound boolean")
+    head = payloads.select("path", walk("content").alias("w")).select("path", "w.*")
+    valid = F.col("sound") & (F.col("channels") > 0) & (F.col("sample_rate") > 0) & (F.col("block") > 0) & (F.col("data_bytes") > 0)
     return head.select(
         "path",
         "channels",
@@ -218,6 +244,7 @@ def wav_profile(payloads: DataFrame) -> DataFrame:
         "data_bytes",
         F.coalesce(valid, F.lit(False)).alias("valid"),
         F.when(valid, F.col("data_bytes") / (F.col("block") * F.col("sample_rate"))).alias("duration"),
+        "encoding",
     )
 
 

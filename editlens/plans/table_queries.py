@@ -598,11 +598,35 @@ def c15_payloads(spark, sf):
     return quality.check_payloads(inventory, found).select("check", "key", "detail")
 
 
+def _little(value):
+    return f"unhex(concat_ws('', transform(array(3, 2, 1, 0), i -> substring(lpad(hex({value}), 8, '0'), i * 2 + 1, 2))))"
+
+
 def c16_wav_profile(spark, sf):
     """Documents framed as 16-bit mono recordings; every 41st lacks its marker."""
-    little = lambda value: f"unhex(concat_ws('', transform(array(3, 2, 1, 0), i -> substring(lpad(hex({value}), 8, '0'), i * 2 + 1, 2))))"
-    content = f"""concat(cast(if(doc_id % 41 = 0, 'RIFX', 'RIFF') as binary), {little('octet_length(text) + 36')}, cast('WAVEfmt ' as binary), {little('16')}, X'01000100', {little('16000')},
-        {little('32000')}, X'02001000', cast('data' as binary), {little('octet_length(text)')}, cast(text as binary))"""
+    content = f"""concat(cast(if(doc_id % 41 = 0, 'RIFX', 'RIFF') as binary), {_little('octet_length(text) + 36')}, cast('WAVEfmt ' as binary), {_little('16')}, X'01000100', {_little('16000')},
+        {_little('32000')}, X'02001000', cast('data' as binary), {_little('octet_length(text)')}, cast(text as binary))"""
+    rows = fixtures.documents(spark, sf).select(F.expr("concat('d', doc_id)").alias("path"), F.expr(content).alias("content"))
+    return quality.wav_profile(rows).drop("encoding")
+
+
+def c16_chunk_walk(spark, sf):
+    """Documents framed as recordings in six ways: plain, a note first, data first, extensible, truncated, no format."""
+    size = "octet_length(text)"
+    form = f"cast('fmt ' as binary), {_little('16')}, X'01000100', {_little('16000')}, {_little('32000')}, X'02001000'"
+    longer = f"cast('fmt ' as binary), {_little('40')}, X'FEFF0100', {_little('16000')}, {_little('32000')}, X'02001000', X'1600100004000000', X'0300000000001000800000AA00389B71'"
+    data = f"cast('data' as binary), {_little(size)}, cast(text as binary)"
+    note = f"cast('LIST' as binary), {_little('3')}, X'61626300'"
+    ways = (
+        f"{form}, {data}",
+        f"{note}, {form}, {data}",
+        f"{data}, if({size} % 2 = 1, X'00', X''), {form}",
+        f"{longer}, cast('fact' as binary), {_little('4')}, {_little(size)}, {data}",
+        f"{form}, cast('data' as binary), {_little(size + ' + 10')}, cast(text as binary)",
+        data,
+    )
+    branches = " ".join(f"when {n} then concat({way})" for n, way in enumerate(ways))
+    content = f"concat(cast('RIFF' as binary), {_little('0')}, cast('WAVE' as binary), case doc_id % 6 {branches} end)"
     rows = fixtures.documents(spark, sf).select(F.expr("concat('d', doc_id)").alias("path"), F.expr(content).alias("content"))
     return quality.wav_profile(rows)
 

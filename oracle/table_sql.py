@@ -487,6 +487,9 @@ SQL = {
     ),
     "c16_wav_profile": """SELECT 'd' || doc_id AS path, 1 AS channels, 16000 AS sample_rate, strlen(text) AS data_bytes, doc_id % 41 <> 0 AND strlen(text) > 0 AS valid,
           CASE WHEN doc_id % 41 <> 0 AND strlen(text) > 0 THEN strlen(text) / 32000::DOUBLE END AS duration FROM documents""",
+    "c16_chunk_walk": """SELECT 'd' || doc_id AS path, CASE WHEN way < 5 THEN 1 END AS channels, CASE WHEN way < 5 THEN 16000 END AS sample_rate, CASE WHEN way <> 4 THEN size END AS data_bytes,
+          way < 4 AND size > 0 AS valid, CASE WHEN way < 4 AND size > 0 THEN size / 32000::DOUBLE END AS duration, CASE way WHEN 3 THEN 3 WHEN 5 THEN NULL ELSE 1 END AS encoding
+        FROM (SELECT doc_id, doc_id % 6 AS way, strlen(text) AS size FROM documents)""",
     "r01_stream_runlog": with_("SELECT event_id, key, status FROM log", "log"),
     "r01_duplicate_ids": """SELECT 'R01' AS "check", CAST(event_id AS VARCHAR) AS key, 'duplicate 1' AS detail FROM events WHERE event_id % 7 = 0""",
     "r02_stream_progress": with_("SELECT status, count(*) AS n FROM (SELECT status FROM log UNION ALL SELECT status FROM log WHERE event_id % 7 = 0) GROUP BY status", "log"),
