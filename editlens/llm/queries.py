@@ -50,7 +50,7 @@ def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumn("held_out", language.held_out())
-    dictionaries = language.learn(docs.filter(~F.col("held_out")), order=F.xxhash64("doc_id", "text"))
+    dictionaries = language.learn(docs.filter(~F.col("held_out")))
     return language.predict(docs.select("doc_id", "text", "held_out"), dictionaries).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 

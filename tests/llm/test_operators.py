@@ -376,6 +376,31 @@ def test_near_lines_finds_all(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_language_rejects_what_is_unclear(spark):
+    """Random letters and texts of two halves go, clean ones stay; sizes by a plain loop over pieces."""
+    rng = random.Random(8)
+    letters = {"xx": "aeioklmnprstv", "yy": "bcdfghjkwzuy", "zz": "aeghioqrstuwx"}
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randint(2, 8))) for _ in range(300)] for k, v in letters.items()}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    learnt = language.learn(spark.createDataFrame([(text(k, 60), k) for k in words for _ in range(200)] + [("aaa aa", "xx")] * 900, "text string, lang string"))
+    assert all(len(v) > 10000 for v in learnt.values())  # copies of one text count once
+    clean = [text(k, 80) for k in words for _ in range(40)]
+    mixed = [text(a, 40) + " " + text(b, 40) for a, b in (("xx", "yy"), ("yy", "zz"), ("zz", "xx")) for _ in range(20)]
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(500)) for _ in range(60)]
+    rows = spark.createDataFrame([(t, kind) for kind, ts in (("clean", clean), ("mixed", mixed), ("noise", noise)) for t in ts], "text string, kind string")
+    out = language.predict(rows, learnt).collect()
+    share = {kind: np.mean([r.rejected for r in out if r.kind == kind]) for kind in ("clean", "mixed", "noise")}
+    assert share["clean"] < 0.02 and share["mixed"] >= 0.9 and share["noise"] >= 0.9
+    judge = language.Judge(learnt)
+    for r in out[::7]:
+        data = language.plain(r.text).encode()
+        pieces = [[len(judge.by[k].compress(data[i : i + language.PIECE])) - len(judge.by[k].compress(b"")) for k in sorted(learnt)] for i in range(0, len(data), language.PIECE)]
+        total = np.array(pieces).sum(axis=0)
+        best, second = sorted(total)[:2]
+        assert r.lang_pred == sorted(learnt)[int(total.argmin())] and abs(r.score - (1 - best / second)) < 1e-12
+        assert r.rejected == (1 - best / second < language.MARGIN or 1 - sum(map(min, pieces)) / best > language.MIXED)
+
+
 def test_language(spark, empty):
     by = {"xx": "kalo pira sonu meta vigo", "yy": "strm grblk fnord zwick plonk", "zz": "oua eia iou aeu uia"}
     rng = random.Random(5)
