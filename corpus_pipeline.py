@@ -22,8 +22,8 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: five-word shingles, similarity 0.8."""
-    return simhash.representatives(docs).select(*docs.columns)
+    """One row of each group of near duplicates: SimHash of three-word shingles, links at two or fewer bits."""
+    return simhash.one_per_component(docs).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,6 +150,15 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     return prints.join(named, "f").select("doc_id", hexed, "component_id", "links")
 
 
+def one_per_component(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each component of ``groups`` stays: the one with the smallest id (null last), whatever ids repeat."""
+    marked = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    named = groups(marked.select("_row", text), text, "_row").select(F.col("doc_id").alias("_row"), "component_id")
+    ids = marked.select("_row", F.struct(F.col(doc_id).isNull(), doc_id, "_row").alias("_best"))
+    best = ids.join(named, "_row").groupBy("component_id").agg(F.min("_best").alias("_best"))
+    return marked.join(best.select(F.col("_best._row").alias("_row")), "_row", "left_semi").drop("_row")
+
+
 def shingles(text: Column, width: int) -> Column:
     """The distinct shingles' hashes as an array of longs."""
 
