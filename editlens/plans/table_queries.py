@@ -312,18 +312,24 @@ def _requests(spark, sf):
     return requests.plan_requests(fixtures.cases(spark, sf))
 
 
+def _request_keys(spark, sf):
+    """Keys of the distinct requests, written once as bytes: each use of the plan would read every instruction again."""
+    path = scratch(spark)
+    _requests(spark, sf)[0].select(F.unhex("key").alias("key")).write.parquet(path)
+    return spark.read.parquet(path).select(F.lower(F.hex("key")).alias("key"))
+
+
 def j10_cache_split(spark, sf):
-    distinct, _ = _requests(spark, sf)
+    keys = _request_keys(spark, sf)
     status = "get(array('ok', 'unsupported', 'pending', 'error'), cast(conv(substring(key, 1, 1), 16, 10) as int) % 4)"
-    cache = distinct.selectExpr("key", f"{status} as status").filter("substring(key, 2, 1) <= '7'")
-    hits, pending = requests.split_cached(distinct.select("key"), cache)
+    cache = keys.selectExpr("key", f"{status} as status").filter("substring(key, 2, 1) <= '7'")
+    hits, pending = requests.split_cached(keys, cache)
     return hits.select("key", "status").unionByName(pending.select("key", F.lit("pending").alias("status")))
 
 
 def j10_identity_split(spark, sf):
     """Two versions of a model: the first answered half of the requests, the second a quarter."""
-    distinct, _ = _requests(spark, sf)
-    keys = distinct.select("key")
+    keys = _request_keys(spark, sf)
     one = keys.filter("substring(key, 1, 1) <= '7'").selectExpr("key", "'ok' as status", "'planner@1' as identity")
     two = keys.filter("substring(key, 2, 1) <= '3'").selectExpr("key", "if(substring(key, 3, 1) = '0', 'pending', 'error') as status", "'planner@2' as identity")
     split = [requests.split_cached(keys, one.unionByName(two), i) for i in ("planner@1", "planner@2")]
