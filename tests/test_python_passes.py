@@ -41,3 +41,15 @@ def test_ways_of_normalising_agree(spark):
     for r in rows.collect():
         assert r.one == r.two == r.slow
         assert r.n == r.tokens or r.a is None
+
+
+def test_few_rows_wait_at_python_columns(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        for asked, got in (("10000", "1000"), ("0", "1000"), ("200", "200")):
+            spark.conf.set(setting, asked)
+            plans.evaluation(spark, SF)
+            assert spark.conf.get(setting) == got
+    finally:
+        spark.conf.set(setting, before)
