@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections import Counter
+from functools import reduce
+from itertools import accumulate, combinations_with_replacement, product
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from editlens.llm.common import stored
@@ -10,8 +15,11 @@ from editlens.llm.common import stored
 #: Edits allowed between two lines, and the least length of a line that may differ; shorter lines must be equal.
 THRESHOLD = 2
 LEAST = 20
-#: Columns after which a pair that is far apart is given up.
-GLANCE = 16
+#: Parts of a line that are looked for in the other one before the two are compared.
+GLANCE = 12
+#: Lines of a key that are compared all with all, and numbers of pieces for the keys of larger groups.
+FEW = 64
+PIECES = (6, 18)
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -60,66 +68,163 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _start(i: int, length: Column, threshold: int) -> Column:
-    """Where segment i of a line of this length begins, from 0."""
-    return F.floor(length * i / (threshold + 1)).cast("int")
+def _keys(body: Column, length: Column, threshold: int, least: int) -> Column:
+    """Keys under which lines within the threshold meet, and whether a key is the line's own.
+
+    Lines of a range of lengths are cut into threshold + 1 segments by the least length of the range; a line also takes
+    part in the ranges of lines up to the threshold shorter. Of two lines within the threshold, a segment i is whole
+    with at most i edits before it and at most threshold - i behind it (the multi-match-aware choice). It is looked for
+    from the nearer end, where it has moved by no more than that.
+    """
+
+    def base(shorter: int) -> Column:
+        size = length - shorter
+        return F.when(size >= least, size - size % F.when(size < 64, 4).otherwise(16))
 
+    def under(start: Column) -> Column:
+        keys = []
+        for i in range(threshold + 1):
+            begin, end = F.floor(start * i / (threshold + 1)), F.floor(start * (i + 1) / (threshold + 1))
+            moved = min(i, threshold - i)
+            place = begin if i <= threshold - i else length - (start - begin)
+            for shift in range(-moved, moved + 1):
+                part = F.substr(body, (place + shift + 1).cast("int"), (end - begin).cast("int"))
+                keys.append(F.struct(_key(F.lit(i), start, part).alias("key"), F.lit(shift == 0).alias("own")))
+        return F.array(*keys)
 
-def _segments(body: Column, length: Column, threshold: int) -> Column:
-    """Index keys of a line: its length, and number and text of each segment."""
-    keys = []
-    for i in range(threshold + 1):
-        begin, end = _start(i, length, threshold), _start(i + 1, length, threshold)
-        keys.append(_key(i, length, F.substr(body, begin + 1, end - begin)))
-    return F.array(*keys)
+    bases = F.array_distinct(F.array_compact(F.array(*[base(k).cast("int") for k in range(threshold + 1)])))
+    return F.flatten(F.transform(bases, under))
 
 
-def _key(segment: int, length: Column, part: Column) -> Column:
+def _key(*parts: Column) -> Column:
     """48 bits of a hash: a wrong meeting only costs a comparison, and short keys shuffle less."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(segment), length, part), 16)
+    return F.shiftrightunsigned(F.xxhash64(*parts), 16)
 
 
-def _probes(body: Column, length: Column, threshold: int) -> Column:
-    """Keys under which a line finds lines of its length or up to the threshold shorter.
+def _patterns(pieces: int, threshold: int) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+    """Ways in which a line and a longer one agree outside of the pieces that edits touch.
 
-    Of a segment, only those places are tried where edits to the left and to the right of it can both stay within the
-    threshold together with the other segments' (the multi-match-aware choice).
+    Each is the number of the touched pieces' choice, how much longer the other line is, and the runs of whole pieces:
+    first and last bound in pieces, and how far the run has moved in the longer line. Unmoved ones are a line's own.
     """
-    keys = []
-    for shorter in range(threshold + 1):
-        other = length - shorter
-        for i in range(threshold + 1):
-            begin, end = _start(i, other, threshold), _start(i + 1, other, threshold)
-            for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + threshold - i) + 1):
-                keys.append(_key(i, other, F.substr(body, begin + shift + 1, end - begin)))
-    return F.array(*keys)
+    found = []
+    for number, touched in enumerate(combinations_with_replacement(range(pieces), threshold)):
+        edits = sorted(Counter(touched).items())
+        bounds = [0, *(x for piece, _ in edits for x in (piece, piece + 1)), pieces]
+        for steps in product(*[range(-n, n + 1) for _, n in edits]):
+            if sum(steps) >= 0:
+                moved = [0, *accumulate(steps)]
+                found.append((number, moved[-1], list(zip(bounds[::2], bounds[1::2], moved, strict=True))))
+    return found
+
+
+def _fine_keys(lines: DataFrame, pieces: int, threshold: int) -> DataFrame:
+    """``(line, key, own)``: all but the touched pieces of a line are in a key, for every choice of touched pieces."""
+    rows = []
+    for number, longer, runs in _patterns(pieces, threshold):
+        own = longer == 0 and not any(moved for _, _, moved in runs)
+        runs = [*runs, *[(0, 0, 0)] * (threshold + 1 - len(runs))]
+        places = {f"r{i}": {"x": x, "y": y, "by": moved} for i, (x, y, moved) in enumerate(runs)}
+        rows.append({"number": number, "longer": longer, "own": own, **places})
+    kind = ", ".join(f"r{i}: struct<x: int, y: int, by: int>" for i in range(threshold + 1))
+    patterns = F.from_json(F.lit(json.dumps(rows)), f"array<struct<number: int, longer: int, own: boolean, {kind}>>")
+    every = lines.select("line", "body", "length", F.explode(patterns).alias("p"))
+    size = F.col("length") - F.col("p.longer")
+
+    def part(i: int) -> Column:
+        x, y = (F.floor(size * F.col(f"p.r{i}.{end}") / pieces) for end in "xy")
+        return F.substr("body", (x + F.col(f"p.r{i}.by") + 1).cast("int"), F.greatest(y - x, F.lit(0)).cast("int"))
+
+    return every.select("line", _key(F.col("p.number"), size, *[part(i) for i in range(threshold + 1)]).alias("key"), F.col("p.own").alias("own"))
+
+
+def _sized(distinct: DataFrame, least: int) -> DataFrame:
+    return distinct.withColumn("length", F.char_length("body")).filter(F.col("length") >= least)
+
+
+def _groups(keys: DataFrame) -> DataFrame:
+    """``(key, line, own, n)`` of keys with two lines or more (n at least), one of them under its own key."""
+    dealt = keys.repartition("key")
+    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("low"), F.max("line").alias("high"), F.max("own").alias("any"))
+    shared = sizes.filter("low <> high and any").select("key", "n")
+    return stored(dealt.join(shared, "key"))
+
+
+def _coarse(sized: DataFrame, threshold: int, least: int) -> DataFrame:
+    return _groups(sized.select("line", F.inline(_keys(F.col("body"), F.col("length"), threshold, least))).select("line", "key", "own"))
 
 
 def near_lines(distinct: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
-    """Pairs ``(a, b)`` of ids of different lines within the threshold. ``distinct`` has ``line`` (an id) and ``body``.
+    """All pairs ``(a, b)`` of ids of different lines within the threshold. ``distinct`` has ``line`` (an id) and ``body``.
 
-    A line within t edits of another keeps one of its t+1 segments whole, so the two meet under a key. The lines of a
-    pair both have at least ``least`` characters, which must be GLANCE and the threshold at least.
+    The lines of a pair both have at least ``least`` characters. There may be as many pairs as the square of a group of
+    lines that are near each other; ``near_earlier`` does without.
     """
-    sized = distinct.withColumn("length", F.char_length("body")).filter(F.col("length") >= least)
-    index = sized.select(F.col("line").alias("a"), F.explode(_segments(F.col("body"), F.col("length"), threshold)).alias("key"))
-    probe = sized.select(F.col("line").alias("b"), F.explode(_probes(F.col("body"), F.col("length"), threshold)).alias("key"))
+    groups = _coarse(_sized(distinct, least), threshold, least)
+    index, probe = groups.filter("own").select(F.col("line").alias("a"), "key"), groups.select(F.col("line").alias("b"), "key")
     met = index.join(probe, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = distinct.select(F.col("line").alias("a"), F.col("body").alias("body_a"))
-    right = distinct.select(F.col("line").alias("b"), F.col("body").alias("body_b"))
-    pairs = met.join(left, "a").join(right, "b")
-    return pairs.filter(_within(F.col("body_a"), F.col("body_b"), threshold)).select("a", "b")
+    return _compared(met, distinct, threshold).select("a", "b")
 
 
-def _within(a: Column, b: Column, threshold: int) -> Column:
-    """Whether the distance is within the threshold, given up early: first both ends are compared, then all.
+def _compared(met: DataFrame, bodies: DataFrame, threshold: int) -> DataFrame:
+    """Those pairs ``(a, b)`` that are within the threshold."""
+    left = bodies.select(F.col("line").alias("a"), F.col("body").alias("body_a"))
+    right = bodies.select(F.col("line").alias("b"), F.col("body").alias("body_b"))
+    return met.join(left, "a").join(right, "b").filter(_within(F.col("body_a"), F.col("body_b"), threshold))
 
-    After GLANCE columns the lowest diagonal of the band is at most 2t above the best one, so a pair within t has at
-    most 3t there.
+
+def near_earlier(distinct: DataFrame, threshold: int = THRESHOLD, least: int = LEAST, few: int = FEW) -> DataFrame:
+    """Ids (``line``) of the lines that are within the threshold of a line that comes before them.
+
+    ``distinct`` has ``line`` (an id), ``body`` and ``at``, by which lines are ordered; as in ``near_lines``, both have
+    ``least`` characters. Lines that meet under a key are compared if they are few. Those of larger groups meet again
+    under keys of finer pieces, which every near pair shares, too. What is still large then differs in the same small
+    pieces only; there a line is compared with the first ones of its group, and with more while none is near.
     """
-    ends = ((a, b), (F.reverse(a), F.reverse(b)))
-    early = [banded_distance(F.left(x, F.lit(GLANCE + threshold)), F.left(y, F.lit(GLANCE)), threshold) <= 3 * threshold for x, y in ends]
-    return early[0] & early[1] & (banded_distance(a, b, threshold) <= threshold)
+    sized = _sized(distinct, least)
+    groups = _coarse(sized, threshold, least)
+    lines = stored(sized.join(groups.select("line").distinct(), "line"))
+    found = []
+    for pieces in PIECES:
+        small = _members(groups.filter(F.col("n") <= few), lines)
+        found.append(stored(_near(small, small, lines, threshold)))
+        large = groups.filter(F.col("n") > few)
+        if large.isEmpty():
+            break
+        groups = _groups(_fine_keys(lines.join(large.select("line").distinct(), "line"), pieces, threshold))
+    else:
+        by_place = Window.partitionBy("key").orderBy("at", "line")
+        placed = stored(_members(groups, lines).withColumn("place", F.row_number().over(by_place)))
+        low, high, targets = 0, few, placed
+        while not targets.isEmpty():
+            found.append(stored(_near(placed.filter(F.col("place").between(low + 1, high)), targets, lines, threshold)))
+            low, high = high, 2 * high
+            targets = stored(targets.filter(F.col("place") > low).join(found[-1], "line", "left_anti"))
+    return reduce(DataFrame.union, found).distinct()
+
+
+def _members(groups: DataFrame, lines: DataFrame) -> DataFrame:
+    return groups.join(lines.select("line", "at"), "line")
+
+
+def _near(sources: DataFrame, targets: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
+    """Targets that are within the threshold of an earlier source that they share a key with."""
+    a = sources.select("key", F.col("line").alias("a"), F.col("at").alias("at_a"), F.col("own").alias("own_a"))
+    b = targets.select("key", F.col("line").alias("b"), F.col("at").alias("at_b"), F.col("own").alias("own_b"))
+    met = a.join(b, "key").filter("a <> b and at_a < at_b and (own_a or own_b)").select("a", "b").distinct()
+    return _compared(met, lines, threshold).select(F.col("b").alias("line")).distinct()
+
+
+def _within(a: Column, b: Column, threshold: int) -> Column:
+    """Whether the distance is within the threshold. First a glance: edits leave all but so many parts of a line whole."""
+    length = F.char_length(a)
+    whole = []
+    for i in range(GLANCE):
+        begin, end = (F.floor(length * k / GLANCE).cast("int") for k in (i, i + 1))
+        around = F.substr(b, F.greatest(begin - threshold, F.lit(0)) + 1, end - begin + 2 * threshold)
+        whole.append(F.contains(around, F.substr(a, begin + 1, end - begin)).cast("int"))
+    near = (F.abs(length - F.char_length(b)) <= threshold) & (sum(whole[1:], whole[0]) >= GLANCE - threshold)
+    return F.when(near, banded_distance(a, b, threshold) <= threshold).otherwise(False)
 
 
 def _body(line: Column) -> Column:
@@ -141,13 +246,9 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thr
     keyed = docs.drop("n_lines", "n_removed").withColumns({"_k1": order[0], "_k2": order[1]})
     exploded = keyed.select(F.col(doc_id).alias("id"), "_k1", "_k2", F.posexplode(F.split(F.col(text), "\n")).alias("no", "raw"))
     lines = exploded.withColumn("body", _body(F.col("raw"))).filter("body <> ''").withColumns({"line": F.xxhash64("body"), "check": F.crc32(F.col("body").cast("binary"))})
-    distinct = lines.groupBy("line").agg(F.first("body").alias("body"))
     # Lines are equal if both hashes are; near lines are looked up by the first, and compared by their text.
-    firsts = stored(lines.groupBy("line", "check").agg(F.min(F.struct("id", "_k1", "_k2", "no")).alias("at")))
-    near = near_lines(distinct, threshold, least)
-    both = near.union(near.select("b", "a")).toDF("line", "other")
-    before = both.join(firsts.select(F.col("line").alias("other"), F.col("at").alias("other_at")), "other").groupBy("line").agg(F.min("other_at").alias("other_at"))
-    stay = firsts.join(before, "line", "left").filter("other_at is null or at < other_at").select("at.*")
+    firsts = stored(lines.groupBy("line", "check").agg(F.min(F.struct("id", "_k1", "_k2", "no")).alias("at"), F.first("body").alias("body")))
+    stay = firsts.join(near_earlier(firsts.select("line", "body", "at"), threshold, least), "line", "left_anti").select("at.*")
     kept = stay.groupBy("_k1", "_k2").agg(F.collect_list("no").alias("_kept"))
     return _without(keyed.join(kept, ["_k1", "_k2"], "left"), text).drop("_k1", "_k2", "_kept")
 
