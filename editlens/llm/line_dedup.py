@@ -119,14 +119,18 @@ def _patterns(pieces: int, threshold: int) -> list[tuple[int, int, list[tuple[in
 
 
 def _fine_keys(lines: DataFrame, pieces: int, threshold: int) -> DataFrame:
-    """``(line, key, own)``: all but the touched pieces of a line are in a key, for every choice of touched pieces."""
+    """``(line, key, own)``: all but the touched pieces of a line are in a key, for every choice of touched pieces.
+
+    Also hashes of the texts of the ``first`` and ``last`` touched piece. Two lines that agree in one of them meet under
+    a choice without it as well.
+    """
     rows = []
     for number, longer, runs in _patterns(pieces, threshold):
         own = longer == 0 and not any(moved for _, _, moved in runs)
-        runs = [*runs, *[(0, 0, 0)] * (threshold + 1 - len(runs))]
+        runs = [*runs, *[(0, 0, 0)] * (threshold + 1 - len(runs)), *runs[-2:]]
         places = {f"r{i}": {"x": x, "y": y, "by": moved} for i, (x, y, moved) in enumerate(runs)}
         rows.append({"number": number, "longer": longer, "own": own, **places})
-    kind = ", ".join(f"r{i}: struct<x: int, y: int, by: int>" for i in range(threshold + 1))
+    kind = ", ".join(f"r{i}: struct<x: int, y: int, by: int>" for i in range(threshold + 3))
     patterns = F.from_json(F.lit(json.dumps(rows)), f"array<struct<number: int, longer: int, own: boolean, {kind}>>")
     every = lines.select("line", "body", "length", F.explode(patterns).alias("p"))
     size = F.col("length") - F.col("p.longer")
@@ -135,7 +139,13 @@ def _fine_keys(lines: DataFrame, pieces: int, threshold: int) -> DataFrame:
         x, y = (F.floor(size * F.col(f"p.r{i}.{end}") / pieces) for end in "xy")
         return F.substr("body", (x + F.col(f"p.r{i}.by") + 1).cast("int"), F.greatest(y - x, F.lit(0)).cast("int"))
 
-    return every.select("line", _key(F.col("p.number"), size, *[part(i) for i in range(threshold + 1)]).alias("key"), F.col("p.own").alias("own"))
+    def touched(i: int) -> Column:
+        y = F.floor(size * F.col(f"p.r{i}.y") / pieces) + F.col(f"p.r{i}.by")
+        x = F.floor(size * F.col(f"p.r{i + 1}.x") / pieces) + F.col(f"p.r{i + 1}.by")
+        return F.xxhash64(F.substr("body", (y + 1).cast("int"), F.greatest(x - y, F.lit(0)).cast("int")))
+
+    key = _key(F.col("p.number"), size, *[part(i) for i in range(threshold + 1)])
+    return every.select("line", key.alias("key"), F.col("p.own").alias("own"), touched(0).alias("first"), touched(threshold + 1).alias("last"))
 
 
 def _sized(distinct: DataFrame, least: int) -> DataFrame:
@@ -143,10 +153,12 @@ def _sized(distinct: DataFrame, least: int) -> DataFrame:
 
 
 def _groups(keys: DataFrame) -> DataFrame:
-    """``(key, line, own, n)`` of keys with two lines or more (n at least), one of them under its own key."""
+    """Rows, and their number ``n``, of keys with different lines (and touched pieces), one under its own key."""
     dealt = keys.repartition("key")
-    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("low"), F.max("line").alias("high"), F.max("own").alias("any"))
-    shared = sizes.filter("low <> high and any").select("key", "n")
+    differ = [c for c in keys.columns if c not in ("key", "own")]
+    ends = [end(c).alias(f"{name}_{c}") for c in differ for end, name in ((F.min, "low"), (F.max, "high"))]
+    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any"), *ends)
+    shared = sizes.filter(" and ".join(["any", *[f"low_{c} <> high_{c}" for c in differ]])).select("key", "n")
     return stored(dealt.join(shared, "key"))
 
 
@@ -209,9 +221,11 @@ def _members(groups: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _near(sources: DataFrame, targets: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     """Targets that are within the threshold of an earlier source that they share a key with."""
-    a = sources.select("key", F.col("line").alias("a"), F.col("at").alias("at_a"), F.col("own").alias("own_a"))
-    b = targets.select("key", F.col("line").alias("b"), F.col("at").alias("at_b"), F.col("own").alias("own_b"))
-    met = a.join(b, "key").filter("a <> b and at_a < at_b and (own_a or own_b)").select("a", "b").distinct()
+    differ = [c for c in ("line", "first", "last") if c in sources.columns]
+    names = [*differ, "at", "own"]
+    a, b = (side.select("key", *[F.col(c).alias(f"{c}_{end}") for c in names]) for side, end in ((sources, "a"), (targets, "b")))
+    meets = " and ".join([*[f"{c}_a <> {c}_b" for c in differ], "at_a < at_b", "(own_a or own_b)"])
+    met = a.join(b, "key").filter(meets).select(F.col("line_a").alias("a"), F.col("line_b").alias("b")).distinct()
     return _compared(met, lines, threshold).select(F.col("b").alias("line")).distinct()
 
 
