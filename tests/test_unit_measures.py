@@ -83,3 +83,12 @@ def test_local_counts_are_those_of_the_regions(spark):
 def test_units_are_measured_by_batch(spark):
     plan = plans.k13_success(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan and "array_except" not in plan
+
+
+def test_tracks_are_slices_of_fixed_lists(spark):
+    """Every frame as in ``frames``, also of ids that are negative or missing."""
+    base = spark.range(-700, 700).selectExpr("if(id % 50 = 3, null, id * 37) as uid", "cast(1 + abs(id) % 14 as int) as n")
+    track = "transform(sequence(0, ({n}) * 5 - 1), k -> named_struct('t', k * 5 / 100D, 'hz', cast(if((uid + k div 25) % {m} = 0, 0, 100 + (uid * {f} + k * {s}) % 120) as double)))"
+    both = fixtures.with_tracks(base).withColumns({"a": F.expr(track.format(n="n", m=6, f=7, s=3)), "b": F.expr(track.format(n="n + 3", m=7, f=11, s=5))})
+    assert both.filter("not (source_track <=> a) or not (target_track <=> b)").count() == 0
+    assert "slice(" in fixtures.with_tracks(base)._jdf.queryExecution().optimizedPlan().toString()
